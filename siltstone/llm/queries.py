@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, media_gif, packing
+from . import chat_format, licenses, media_gif, packing, simhash, toxicity
 from .common import table
 
 CONTROL_TURN = "</s>[INST] ok [/INST]"
@@ -22,6 +22,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.format_chats(chat_format.canonical_turns(records, "conv_id"), "conv_id"), "conv_id")
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def word_tokenizer_path() -> str:
     import public_tokenizers
 
@@ -32,5 +37,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer_path(), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_gif_media, op4_chat_formatting, op8_packing)}
-ORACLES: dict[str, str] = {}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op3_gif_media, op4_chat_formatting, op6_simhash_near_dedup, op8_packing, op9_license_scan, op10_toxicity)}
+ORACLES: dict[str, str] = {"op9_license_scan": licenses.scan_sql()}
