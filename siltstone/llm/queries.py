@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, licenses, media_gif, packing, simhash, toxicity
+from . import chat_format, debruijn, licenses, media_gif, packing, simhash, toxicity
 from .common import table
 
 CONTROL_TURN = "</s>[INST] ok [/INST]"
@@ -22,6 +22,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.format_chats(chat_format.canonical_turns(records, "conv_id"), "conv_id"), "conv_id")
 
 
+def op5_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.dedup(table(spark, sf_dir, "documents"), with_text=False).drop("paths")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -46,5 +50,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_gif_media, op4_chat_formatting, op6_simhash_near_dedup, op8_packing, op9_license_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_gif_media, op4_chat_formatting, op5_debruijn_dedup, op6_simhash_near_dedup, op8_packing, op9_license_scan, op10_toxicity)}
 ORACLES: dict[str, str] = {"op9_license_scan": licenses.scan_sql()}
