@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
+import unicodedata
 import zlib
 from array import array
 from functools import lru_cache
@@ -31,42 +31,81 @@ WINDOW = 4096
 GROUP_TOKENS = 240 * WINDOW
 #: Words whose ids a worker remembers.
 WORD_CACHE = 400_000
-_WORD = re.compile(r"[^ \t-\r]+")
+
+
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that lower-cases and drops white space, one word (run without ASCII white space) at a time.
 
     Such a tokenizer never looks across white space, so a text's ids are its words' ids in order and words can be
-    remembered. A word of ASCII letters before one mark has the ids of both in turn. Strings of special tokens count
-    as ordinary text.
+    remembered. Words of letters alone need no search for the tokenizer's own words and go to the bare model, many at
+    once. A word of letters before ASCII marks has the ids of both in turn. Strings of special tokens count as
+    ordinary text.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?")), strict=True))
+        self.ascii, self.letters = Tokenizer(self.t.model), Tokenizer(self.t.model)
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters.normalizer = normalizers.Lowercase()
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        names = self.t.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for w, i in names.items() if w.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for at in range(0, len(words), 4096) for e in self.t.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        known, older, marks = self.known, self.older, self.marks
-        ends = {w: w[:-1] for w in words if w[-1] in marks and w[:-1].isascii() and w[:-1].isalpha()}
-        plain = {ends.get(w, w) for w in words}
-        new = [w for w in plain if w not in known and w not in older]
-        known.update((w, older[w]) for w in plain if w not in known and w in older)
-        known.update(zip(new, self._ids(new), strict=True))
-        known.update((w, known[base] + marks[w[-1]]) for w, base in ends.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [_WORD.findall(t.lower() if t.isascii() else t) for t in texts]
+    def _joined(self, bare, words: list[str]) -> list[bytes]:
+        """_ids() of words of letters alone, many as one text: a word's last id is the one that ends a word."""
+        out = []
+        for at in range(0, len(words), 64):
+            ids = np.array(bare.encode_batch_fast([" ".join(words[at : at + 64])], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, older = self.known, self.older
+        parts: dict[bytes, tuple[bytes, bytes]] = {}  # letters, then marks
+        whole: dict[bytes, None] = {}
+        for w in words:
+            base = w.rstrip(_MARKS)
+            if base and len(base) < len(w) and (base.isalpha() or not base.isascii()):
+                parts[w] = base, w[len(base) :]
+                whole[base] = whole[w[len(base) :]] = None
+            else:
+                whole[w] = None
+        ascii_, letters, rest = [], {}, {}
+        for w in whole:
+            if w in known:
+                continue
+            if w in older:
+                known[w] = older[w]
+            elif w.isalpha():
+                ascii_.append(w)
+            else:
+                t = w.decode()
+                (letters if t.isalpha() and t.lower().isalpha() and unicodedata.is_normalized("NFC", t) else rest)[w] = t
+        known.update(zip(ascii_, self._joined(self.ascii, [w.decode() for w in ascii_]), strict=True))
+        known.update(zip(letters, self._joined(self.letters, list(letters.values())), strict=True))
+        # A word is letters and marks only if its letters are; else its ids are its own.
+        rest |= {w: w.decode() for w, (base, _) in parts.items() if base in rest or not (base.isalpha() or base in letters or base.decode().isalpha())}
+        known.update(zip(rest, self._ids(list(rest.values())), strict=True))
+        known.update((w, known[base] + known[tail]) for w, (base, tail) in parts.items() if w not in rest)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text. ASCII letters may be lowered first: that is what the tokenizer does."""
+        split = [t.lower().split() for t in texts]
         if len(self.known) > WORD_CACHE:
             self.known, self.older = {}, self.known
         known = self.known
@@ -183,7 +222,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WIND
             kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                for k, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for k, ids in zip(part.column(0).to_pylist(), encoder.encode([t.as_py() or b"" for t in part.column(1).cast(pa.binary())]), strict=True):
                     group.append((k, ids + end))
                     tokens += len(ids) // 4 + 1
                     if tokens >= GROUP_TOKENS:
