@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, debruijn, licenses, media_gif, packing, simhash, toxicity
+from . import chat_format, debruijn, decontam, licenses, line_dedup, media_gif, packing, simhash, suffix_array, toxicity
 from .common import table
 
 CONTROL_TURN = "</s>[INST] ok [/INST]"
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rk")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_gif.media_digest(media_gif.sample_media(table(spark, sf_dir, "documents")))
 
@@ -31,6 +40,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.dedup(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def word_tokenizer_path() -> str:
     import public_tokenizers
 
@@ -50,5 +63,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_gif_media, op4_chat_formatting, op5_debruijn_dedup, op6_simhash_near_dedup, op8_packing, op9_license_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_line_dedup, op3_gif_media, op4_chat_formatting, op5_debruijn_dedup, op6_simhash_near_dedup, op7_suffix_array_dedup, op8_packing, op9_license_scan, op10_toxicity)}
 ORACLES: dict[str, str] = {"op9_license_scan": licenses.scan_sql()}
