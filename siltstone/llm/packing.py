@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 WINDOW = 4096
 #: Tokens of a group; fixes the memory of a task and the windows that one differencing run balances.
-GROUP_TOKENS = 240 * WINDOW
+GROUP_TOKENS = 120 * WINDOW
 #: Words whose ids a worker remembers.
 WORD_CACHE = 400_000
 
@@ -215,13 +215,14 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WIND
             group, tokens = [], 0
             cols = [pa.array([r[0] for r in rows], kind), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 7))]
             if with_ids:
-                cols.append(pa.array([np.frombuffer(r[7], "<u4").astype(np.int64).tolist() for r in rows], pa.list_(pa.int64())))
+                flat = np.frombuffer(b"".join([r[7] for r in rows]), "<u4").astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([r[2] for r in rows])].astype(np.int32)), pa.array(flat)))
             return pa.RecordBatch.from_arrays(cols, [key, *PIECES.replace(",", "").split()[::2], *["ids"] * with_ids])
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 32):
+                part = batch.slice(at, 32)
                 for k, ids in zip(part.column(0).to_pylist(), encoder.encode([t.as_py() or b"" for t in part.column(1).cast(pa.binary())]), strict=True):
                     group.append((k, ids + end))
                     tokens += len(ids) // 4 + 1
@@ -230,4 +231,4 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WIND
         if group:
             yield flush()
 
-    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {PIECES}{', ids array<bigint>' * with_ids}")
+    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {PIECES}{', ids array<int>' * with_ids}")
