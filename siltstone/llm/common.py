@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: With it, Spark removes the shuffle files of a finished write at once; its rows are in the written table.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to a Python worker at once while a stage is written: whole texts are large.
+BATCH_ROWS = "1000"
 #: Where doc_id is null a row sorts after all others.
 LAST_ID = (1 << 63) - 1
 
@@ -38,12 +41,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, lost executors cost nothing, shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    own = {_CLEANUP: "true", _BATCH: BATCH_ROWS}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     p, fs = _path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)

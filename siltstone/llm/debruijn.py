@@ -67,8 +67,11 @@ def pieces(docs: DataFrame, unit: Unit) -> DataFrame:
     return out
 
 
+_FIELDS = ("start", "n", "owner", "edge", "glued")
+
+
 def glue(parts: DataFrame) -> DataFrame:
-    """(rk, spans): each document's pieces in order, with glued true where the next one continues the same path.
+    """(rk, start, n, owner, edge, glued): each document's pieces in order as lists; glued is 1 where the next one continues the path.
 
     A piece and its successor are one path if each occurrence of either is next to one of the other.
     """
@@ -79,34 +82,38 @@ def glue(parts: DataFrame) -> DataFrame:
     pairs = chain.where("next IS NOT NULL").groupBy("edge", "next").agg(F.count(F.lit(1)).alias("c"))
     links = pairs.join(counts, ["edge", "c"], "left_semi").join(counts.withColumnRenamed("edge", "next"), ["next", "c"], "left_semi").select("edge", "next", F.lit(True).alias("glued"))
     joined = chain.join(links, ["edge", "next"], "left")
-    return joined.groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("start", "n", "owner", "edge", F.coalesce("glued", F.lit(False)).alias("glued")))).alias("spans"))
+    listed = joined.groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("start", "n", "owner", "edge", F.coalesce("glued", F.lit(False)).cast("long").alias("glued")))).alias("spans"))
+    return listed.select("rk", *[F.col(f"spans.{f}").alias(f) for f in _FIELDS])
 
 
-PATHS = pa.list_(pa.struct([("path", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("first_doc", pa.int64()), ("digest", pa.int64())]))
 _PATHS_SQL = "array<struct<path bigint, start bigint, n_words bigint, first_doc bigint, digest bigint>>"
 
 
-def _apply(text: bytes, doc: int, spans: list[dict]) -> tuple[int, int, str, list[dict], bytes]:
+def _paths(start, n, owner, edge, glued) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(path, first word, end word, first document) of a document's paths from its pieces in order."""
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    goes_on = np.r_[False, (glued[:-1] > 0) & (start[1:] == start[:-1] + n[:-1])]
+    head = np.flatnonzero(~goes_on)
+    last = np.r_[head[1:], len(start)] - 1
+    return edge[head], start[head], start[last] + n[last] + WIDTH - 1, owner[head]
+
+
+def _apply(text: bytes, doc: int, paths: tuple) -> tuple[int, int, bytes, list[int]]:
+    """(words, words removed, what is left, digest of each path's words)."""
     found = _WORD.findall(text)
-    paths: list[dict] = []
-    open_ = False
-    for s in spans:
-        if open_ and s["start"] == paths[-1]["end"]:
-            paths[-1]["end"] = s["start"] + s["n"]
-        else:
-            paths.append({"path": s["edge"], "start": s["start"], "end": s["start"] + s["n"], "first_doc": s["owner"]})
-        open_ = s["glued"]
+    _, start, end, owner = paths
+    if not len(start):
+        return len(found), 0, b" ".join(found), []
     gone = np.zeros(len(found) + 1, np.int64)
-    for p in paths:
-        p["n_words"] = p.pop("end") - p["start"] + WIDTH - 1
-        words = b" ".join(found[p["start"] : p["start"] + p["n_words"]])
-        p["digest"] = int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "big", signed=True)
-        if p["first_doc"] < doc:
-            gone[p["start"]] += 1
-            gone[p["start"] + p["n_words"]] -= 1
+    mine = owner < doc
+    np.add.at(gone, start[mine], 1)
+    np.add.at(gone, end[mine], -1)
     removed = np.cumsum(gone[:-1]) > 0
-    kept = b" ".join([w for w, r in zip(found, removed.tolist(), strict=True) if not r] if paths else found)
-    return len(found), int(removed.sum()), hashlib.sha256(kept).hexdigest(), paths, kept
+    digest = hashlib.blake2b
+    marks = [int.from_bytes(digest(b" ".join(found[i:j]), digest_size=8).digest(), "big", signed=True) for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+    return len(found), int(removed.sum()), b" ".join([w for w, r in zip(found, removed.tolist(), strict=True) if not r]), marks
 
 
 def _results(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
@@ -114,14 +121,23 @@ def _results(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts, all_spans = part.column(2).cast(pa.binary()), part.column(3).to_pylist()
-                rows = [_apply(t.as_py() or b"", d, s or []) for t, d, s in zip(texts, part.column(1).to_pylist(), all_spans, strict=True)]
-                cols = [part.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), PATHS)))]
+                lists = [c.fill_null([]) for c in part.columns[3:]]
+                cuts = lists[0].offsets.to_numpy().astype(np.int64)
+                flat = [c.values.to_numpy(zero_copy_only=False) for c in lists]
+                rows, paths, sizes = [], [], []
+                for i, (t, d) in enumerate(zip(part.column(2).cast(pa.binary()), part.column(1).to_pylist(), strict=True)):
+                    p = _paths(*(x[cuts[i] : cuts[i + 1]] for x in flat))
+                    words, removed, kept, marks = _apply(t.as_py() or b"", d, p)
+                    rows.append((words, removed, hashlib.sha256(kept).hexdigest(), kept))
+                    sizes.append(len(marks))
+                    paths.append((p[0], p[1], p[2] - p[1], p[3], np.array(marks, np.int64)))
+                inner = pa.StructArray.from_arrays([pa.array(np.concatenate([p[k] for p in paths]), pa.int64()) for k in range(5)], ["path", "start", "n_words", "first_doc", "digest"])
+                cols = [part.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), inner)]
                 if with_text:
-                    cols.append(pa.array([r[4].decode() for r in rows], pa.string()))
+                    cols.append(pa.array([r[3].decode() for r in rows], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "paths", *["kept_text"] * with_text])
 
-    both = docs.join(spans.hint("shuffle_hash"), "rk", "left").select("doc_id", "doc", "text", "spans")
+    both = docs.join(spans.hint("shuffle_hash"), "rk", "left").select("doc_id", "doc", "text", *_FIELDS)
     return both.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, paths {_PATHS_SQL}{', kept_text string' * with_text}")
 
 
