@@ -3,7 +3,9 @@
 A line is normalised to lower-case words with digits as 0 and marks as space. Lines of fewer than MIN_WORDS words are
 never touched. Lines with equal words are one node. A node's 64-bit SimHash over words and word pairs is cut into
 BLOCKS blocks; RADIUS changed bits leave BLOCKS - RADIUS of them whole, so nodes within RADIUS bits agree on one
-pair of blocks at least and meet by it. Pairs within RADIUS bits are verified by word edit similarity (insertions and
+pair of blocks at least and meet by it. Nodes that meet are first paired with the least of them alone; then pairs are
+made only between nodes that no verified pair has joined yet, so a crowd of alike lines doesn't pair off with itself.
+Pairs within RADIUS bits are verified by word edit similarity (insertions and
 deletions over both lengths) of SIMILARITY or more. Groups are connected components. Of each group the occurrence of
 the smallest document and line stays; the other lines go, and what is left is joined by line feeds as before.
 
@@ -19,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, discard, doc_key, materialise
@@ -92,8 +94,12 @@ def marked_lines(docs: DataFrame) -> DataFrame:
     return docs.select("rk", "doc", "text").mapInArrow(run, "rk long, doc long, line long, node long, sim long")
 
 
-def near_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes within RADIUS bits; nodes: node, sim."""
+def _near(x: str, y: str):
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= RADIUS
+
+
+def crowds(nodes: DataFrame) -> DataFrame:
+    """(k, node, sim, first): nodes that share a pair of whole blocks with others, and the least node that shares it; nodes: node, sim."""
     width, keys = 64 // BLOCKS, []
     edges = [i * width for i in range(BLOCKS)] + [64]
     for tag, kept in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS)):
@@ -101,9 +107,20 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
         mask -= (mask >> 63) << 64
         keys.append(F.xxhash64(F.lit(tag), F.col("sim").bitwiseAND(F.lit(mask).cast("long"))))
     dealt = nodes.select("node", "sim", F.explode(F.array(*keys)).alias("k"))
-    left, right = dealt.select("k", F.col("node").alias("a"), F.col("sim").alias("sa")), dealt.select("k", F.col("node").alias("b"), F.col("sim").alias("sb"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= RADIUS)
-    return left.join(right, (left.k == right.k) & near).select("a", "b").distinct()
+    same = Window.partitionBy("k")
+    return dealt.select("k", "node", "sim", F.min(F.struct("node", "sim")).over(same).alias("first"), F.count(F.lit(1)).over(same).alias("c")).where("c > 1").drop("c")
+
+
+def star_pairs(crowd: DataFrame) -> DataFrame:
+    """(a, b): each node with the least node of its crowds, if near."""
+    return crowd.select(F.col("first.node").alias("a"), F.col("first.sim").alias("sa"), F.col("node").alias("b"), F.col("sim").alias("sb")).where((F.col("a") != F.col("b")) & _near("sa", "sb")).select("a", "b").distinct()
+
+
+def cross_pairs(crowd: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): near nodes of one crowd that no group joins yet. What the stars have joined makes no pairs."""
+    named = crowd.join(groups, crowd["node"] == groups["id"], "left").select("k", "node", "sim", F.coalesce("root", "node").alias("group"))
+    left, right = (named.select("k", F.col("node").alias(n), F.col("sim").alias(f"s{n}"), F.col("group").alias(f"g{n}")) for n in "ab")
+    return left.join(right, (left.k == right.k) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _near("sa", "sb")).select("a", "b").distinct()
 
 
 def edit_similar(x: list, y: list, least: float) -> bool:
@@ -166,17 +183,27 @@ def lines_to_drop(docs: DataFrame) -> DataFrame:
     """(rk, drop): the numbers of the lines that each row loses; docs: rk, doc, text."""
     lines = materialise(marked_lines(docs), "lines")
     nodes = materialise(lines.groupBy("node").agg(F.min("sim").alias("sim"), F.min(F.struct("doc", "rk", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "line-nodes")
-    pairs = materialise(near_pairs(nodes.select("node", "sim")), "line-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(ends, "node").select("node", "first.rk", "first.line")
-    texts = materialise(_texts_of(docs, wanted), "line-texts")
-    groups = components(_verified(pairs, texts), "line-groups")
+    crowd = materialise(crowds(nodes.select("node", "sim")), "line-crowds")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = materialise(_texts_of(docs, nodes.join(ends, "node").select("node", "first.rk", "first.line")), "line-texts")
+        good = materialise(_verified(pairs, texts), "line-links")
+        discard(pairs, texts)
+        return good
+
+    # A crowd of n near lines is joined through its least line, by n checks; pairs are made only between groups.
+    links = check(materialise(star_pairs(crowd), "line-stars"))
+    cross = materialise(cross_pairs(crowd, components(links, "line-stars-groups")), "line-cross")
+    if not cross.isEmpty():
+        links = links.unionByName(check(cross))
+    groups = components(links, "line-groups")
     known = nodes.join(groups, nodes["node"] == groups["id"], "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n", F.col("root").isNotNull().alias("grouped"))
     kept = known.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total"))
     targets = known.join(kept.where("total > 1"), "root").select("node", "keep")
     gone = lines.join(targets, "node").where(~((F.col("rk") == F.col("keep.rk")) & (F.col("line") == F.col("keep.line"))))
     out = materialise(gone.groupBy("rk").agg(F.array_sort(F.collect_set("line")).alias("drop")), "line-drops")
-    discard(lines, nodes, pairs, texts)
+    discard(lines, nodes, crowd)
     return out
 
 
