@@ -10,10 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's Python files to all executors, once for an application."""
+    """Send the package's Python files to all executors, once for an application.
+
+    Where the rows of an Arrow batch have Spark's default, they become 1,000: rows hold whole texts.
+    """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -23,4 +27,6 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     context.addPyFile(path)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     _shipped.add(context.applicationId)

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import function_queries, queue_queries, report_queries
+
+QUERIES: dict = {**function_queries.Q, **queue_queries.Q, **report_queries.Q}
+ORACLES: dict[str, str] = {**function_queries.SQL, **queue_queries.SQL, **report_queries.SQL}
