@@ -85,7 +85,7 @@ def _dated(spark, d):
         .when(i % 6 == 4, F.format_string("http://h.org/search/x-%d.html", i))
         .otherwise(F.format_string("http://h.org/news/x-%d.html", i))
     )
-    return docs(spark, d).select("doc_id", u.alias("u"), F.substring("text", 1, 40).alias("t"))
+    return docs(spark, d).select("doc_id", u.alias("u"))
 
 
 _DATED = """v AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN printf('http://h.org/Sec/2018/%d/%d/a%d.html', doc_id % 14 + 1, doc_id % 31 + 1, doc_id) WHEN 1 THEN printf('http://h.org/sec/%02d-%02d-14/%d.htm', doc_id % 31 + 1, doc_id % 13 + 1, doc_id)
@@ -175,9 +175,9 @@ def f24(spark, d):
     return docs(spark, d).select("doc_id", text.stable_id("DOC", F.col("text")).alias("hashed"), text.numbered_id("DOC", F.col("doc_id") * 5000).alias("numbered"))
 
 
-@query("f26_language", "WITH v AS (SELECT doc_id, repeat('ລາວ', CAST(doc_id % 4 AS INT)) || substr(text, 1, 24) AS t FROM documents) SELECT doc_id, CASE WHEN length(regexp_replace(t, '[^\\x{0e80}-\\x{0eff}]', '', 'g')) >= greatest(1, length(regexp_replace(t, '[^\\p{L}]', '', 'g')) // 3) THEN 'lo' ELSE 'en' END AS language FROM v")
+@query("f26_language", "WITH v AS (SELECT doc_id, repeat('ລາວ', CAST(doc_id % 4 * 60 AS INT)) || text AS t FROM documents) SELECT doc_id, CASE WHEN length(regexp_replace(t, '[^\\x{0e80}-\\x{0eff}]', '', 'g')) >= greatest(1, length(regexp_replace(t, '[^\\p{L}]', '', 'g')) // 3) THEN 'lo' ELSE 'en' END AS language FROM v")
 def f26(spark, d):
-    return docs(spark, d).select("doc_id", text.language_of(F.concat(F.repeat(F.lit("ລາວ"), (F.col("doc_id") % 4).cast("int")), F.substring("text", 1, 24))).alias("language"))
+    return docs(spark, d).select("doc_id", text.language_of(F.concat(F.repeat(F.lit("ລາວ"), (F.col("doc_id") % 4 * 60).cast("int")), F.col("text"))).alias("language"))
 
 
 @query("f27_title_repair", "WITH v AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '  ' WHEN doc_id % 3 = 1 THEN ' ok title ' ELSE '12' END AS t, text FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'ok title' ELSE coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '')[1], t) END AS title FROM v")
@@ -247,10 +247,10 @@ def p06(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(screen.direct_hits(F.col("text"), ("That", "POUR")), "|").alias("hits"))
 
 
-@query("p08_keyword_contexts", """WITH v AS (SELECT doc_id, substr(text, 1, 3000) AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(0, greatest(length(t), 1))) AS s FROM v)
-SELECT doc_id, s AS "start", s + length(k) AS "end", k AS keyword, trim(substr(t, CAST(greatest(0, s - 20) AS BIGINT) + 1, CAST(least(s, 20) + length(k) + 20 AS BIGINT))) AS context FROM p, (VALUES ('that'), ('nicht')) w(k) WHERE lower(substr(t, CAST(s AS BIGINT) + 1, length(k))) = k""")
+@query("p08_keyword_contexts", """WITH v AS (SELECT doc_id, text AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(0, greatest(length(t), 1))) AS s FROM v)
+SELECT doc_id, s AS "start", s + length(k) AS "end", k AS keyword, trim(substr(t, CAST(greatest(0, s - 20) AS BIGINT) + 1, CAST(least(s, 20) + length(k) + 20 AS BIGINT))) AS context FROM p, (VALUES ('with'), ('nicht')) w(k) WHERE lower(substr(t, CAST(s AS BIGINT) + 1, length(k))) = k""")
 def p08(spark, d):
-    hits = screen.keyword_contexts(F.substring("text", 1, 3000), ("that", "nicht"), 20)
+    hits = screen.keyword_contexts(F.col("text"), ("with", "nicht"), 20)
     return docs(spark, d).select("doc_id", F.inline(hits)).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "keyword", "context")
 
 
