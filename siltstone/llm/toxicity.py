@@ -9,7 +9,7 @@ length goes through a logistic curve.
 fit() learns from at most SAMPLE_PER_CLASS labelled rows of each class, chosen by a hash of their ids; scoring reads
 whole texts of all rows. The lexicon holds at most MAX_TERMS terms and MAX_PHRASES phrases, so the model that goes to
 the executors is bounded. Null and empty texts score as texts without terms. Repeated rows score alike. Without
-usable labels of both classes every row scores 0.
+usable labels of both classes, or terms that tell them apart, every row scores 0 or nearly so.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ MAX_TERMS, MAX_PHRASES = 2_000, 500
 #: Rows a term must be in, and how many times likelier it must be in toxic rows.
 LEAST_ROWS, LEAST_RATIO = 5, 8.0
 PREFIXES = (4, 5, 6)
+#: The curve's base is this at most: a text without any term is never predicted toxic.
+NO_TERM_BASE = -0.1
 
 # Characters that look like Latin letters, and digits and signs written for letters.
 HOMOGLYPHS = {
@@ -190,7 +192,7 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) ->
         if not any(f[:n] in terms for n in range(1, len(f))):  # a shorter start says it already
             terms[f] = w
     model = Model(terms)
-    phrases = _counted(sample, _phrase_features(model)).where(F.col("clean") >= LEAST_ROWS).where(rate("clean", clean) >= LEAST_RATIO * rate("toxic", toxic)).orderBy(F.desc("clean"), "feature").limit(MAX_PHRASES).collect()
+    phrases = _counted(sample, _phrase_features(model)).where(F.col("clean") >= LEAST_ROWS).where(F.col("clean") / clean >= LEAST_RATIO * F.col("toxic") / toxic).orderBy(F.desc("clean"), "feature").limit(MAX_PHRASES).collect()
     model = Model(terms, tuple(r["feature"] for r in phrases))
 
     powers = (0.0, 0.5, 1.0)
@@ -206,7 +208,9 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) ->
     fits = [(*_logistic(np.array([r[i] for r in seen]), y, w), p) for i, p in enumerate(powers)]
     base, slope, _, power = min(fits, key=lambda f: f[2])
     discard(sample, counts)
-    return Model(terms, model.phrases, power, slope, base)
+    if not terms or slope <= 0:
+        return Model()
+    return Model(terms, model.phrases, power, slope, min(base, NO_TERM_BASE))
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
