@@ -1,0 +1,466 @@
+"""Each operator against brute force, exact round trips or held-out labels, and on awkward tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+llm = pytest.importorskip("siltstone.llm.queries")
+from siltstone.llm import chat_format, debruijn, decontam, graph, licenses, line_dedup, media_gif, packing, simhash, suffix_array, toxicity  # noqa: E402
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def docs(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in zip(ids, texts, strict=True)], DOCS)
+
+
+def awkward(spark):
+    """Nulls, empties, repeated rows, one id with two texts, a long text, and columns with names that operators use."""
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(60)}" for _ in range(30_000)]
+    long = " ".join(words)
+    rows = [(1, None), (2, ""), (3, long), (3, long), (4, long), (5, "a b"), (5, "c d e f g h i j k l m n o p"), (None, "x y z " * 20), (None, None), (6, "\n\n \t"), (7, "x y z " * 20), (8, "é" * 200 + "\n" + "é" * 200)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    return df.withColumns({c: F.lit(1) for c in ("rk", "tk", "k", "doc", "start", "fp", "text_", "node", "score")})
+
+
+def corpus(rng, n=40):
+    """Texts that share sentences, passages and whole texts."""
+    vocab = [f"{c}{v}{d}" for c in "bdkl" for v in "aeo" for d in ("n", "r", "st", "")]
+    sentence = lambda: " ".join(rng.choice(vocab) for _ in range(rng.randrange(3, 30))) + "."
+    pool = [sentence() for _ in range(12)]
+    out = []
+    for _ in range(n):
+        kind = rng.random()
+        if kind < 0.15 and out:
+            out.append(rng.choice(out))
+        elif kind < 0.3 and out:
+            w = rng.choice(out).split(" ")
+            w[rng.randrange(len(w))] = "zzz"
+            out.append(" ".join(w))
+        else:
+            out.append(rng.choice([" ", "\n", "  \t"]).join(rng.choice(pool) if rng.random() < 0.4 else sentence() for _ in range(rng.randrange(1, 8))))
+    return out
+
+
+def brute_words(texts, ids, k=13):
+    split = [WORD.findall(t or "") for t in texts]
+    first = {}
+    for i, w in zip(ids, split, strict=True):
+        for a in range(len(w) - k + 1):
+            key = tuple(w[a : a + k])
+            first[key] = min(i, first.get(key, i))
+    out = {}
+    for i, w in zip(ids, split, strict=True):
+        gone = [False] * len(w)
+        for a in range(len(w) - k + 1):
+            if first[tuple(w[a : a + k])] < i:
+                gone[a : a + k] = [True] * k
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
+def brute_bytes(texts, ids, k=50):
+    raw = [(t or "").encode() for t in texts]
+    first = {}
+    for i, w in zip(ids, raw, strict=True):
+        for a in range(len(w) - k + 1):
+            first[w[a : a + k]] = min(i, first.get(w[a : a + k], i))
+    out = {}
+    for i, w in zip(ids, raw, strict=True):
+        gone = bytearray(len(w))
+        for a in range(len(w) - k + 1):
+            if first[w[a : a + k]] < i:
+                gone[a : a + k] = b"\1" * k
+        runs = sum(1 for a in range(len(w)) if gone[a] and (a == 0 or not gone[a - 1]))
+        out[i] = (len(w), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_substring_dedup_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    texts = corpus(rng) + [None, "", "ab " * 40, "ab " * 30]
+    ids = rng.sample(range(1000), len(texts))
+    df = docs(spark, texts, ids)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in debruijn.dedup(df).collect()}
+    assert got == brute_words(texts, ids)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_array.dedup(df).collect()}
+    assert got == brute_bytes(texts, ids)
+
+
+def test_paths_name_repeats_with_coordinates(spark):
+    shared = " ".join(f"s{i}" for i in range(40))
+    out = debruijn.dedup(docs(spark, [f"a b c {shared} d e", f"x {shared} y", "q " * 30])).collect()
+    by = {r["doc_id"]: r for r in out}
+    assert [(p["start"], p["n_words"], p["first_doc"]) for p in by[1]["paths"]] == [(1, 40, 0)]
+    assert [(p["start"], p["n_words"]) for p in by[0]["paths"]] == [(3, 40)] and by[0]["paths"][0]["path"] == by[1]["paths"][0]["path"]
+    assert by[1]["kept_text"] == "x y"
+
+
+def test_intervals_are_maximal_repeats():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(100):
+        segs = [bytes(rng.choices(b"ab", k=rng.randint(3, 9))) for _ in range(4)]
+        data, at = np.frombuffer(b"".join(segs), np.uint8), np.cumsum([0] + [len(s) for s in segs])
+        start = np.concatenate([np.arange(at[i], at[i + 1] - 2) for i in range(4)])
+        of = np.concatenate([np.full(len(s) - 2, i) for i, s in enumerate(segs)])
+        order, common = suffix_array.suffix_array(data, start, at[of + 1])
+        suffixes = [bytes(data[start[k] : at[of[k] + 1]]) for k in order]
+        assert suffixes == sorted(suffixes)
+        left = [int(data[start[k] - 1]) if start[k] > at[of[k]] else 256 for k in order]
+        got = set(suffix_array.intervals([c if c >= 3 else 0 for c in common.tolist()], left, 3))
+        want = set()
+        for x in {s[:n] for s in suffixes for n in range(3, len(s) + 1)}:
+            at_ = [i for i, s in enumerate(suffixes) if s.startswith(x)]
+            before = [left[i] for i in at_]
+            if len(at_) > 1 and min(common[at_[0] + 1 : at_[-1] + 1]) == len(x) and (len(set(before)) > 1 or 256 in before):
+                want.add((at_[0], at_[-1] + 1, len(x)))
+        assert got == want
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    w = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+    if not w:
+        return 0
+    hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_simhash_components_against_brute_force(spark):
+    rng = random.Random(5)
+    base = " ".join(f"t{rng.randrange(500)}" for _ in range(400))
+    texts = []
+    for _ in range(60):
+        w = base.split()
+        for _ in range(rng.randrange(0, 40)):
+            w[rng.randrange(len(w))] = f"u{rng.randrange(900)}"
+        texts.append(" ".join(w))
+    texts += [None, "", "One", "one", "A b", *corpus(rng, 20)]
+    ids = rng.sample(range(5000), len(texts))
+    marks = {i: brute_fingerprint(t) for i, t in zip(ids, texts, strict=True)}
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in ids:
+        for j in ids:
+            if i < j and (marks[i] ^ marks[j]).bit_count() <= 3 and root(i) != root(j):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component"]) for r in simhash.near_duplicates(docs(spark, texts, ids)).collect()}
+    assert got == {i: (marks[i], root(i)) for i in ids}
+
+
+def test_components_of_long_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(200, 260)] + [(7, 7), (300, 301), (301, 300)]
+    got = {r["id"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(101, 161)}, **{i: 1 for i in range(200, 260)}, 301: 300}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_line_dedup(spark):
+    line = "the quick brown fox jumps over the lazy dog while seven wise men look on from the hill"
+    changed = line.replace("seven", "eight")
+    texts = [f"{line}\nshort\nown line of document zero is here", f"{changed}\nshort", f"other words that stand alone in here\n{line.upper()}!", None, "", "short"]
+    rows = {r["doc_id"]: r for r in line_dedup.dedup(docs(spark, texts)).collect()}
+    assert rows[0]["text"] == texts[0] and rows[0]["n_removed"] == 0
+    assert rows[2]["text"] == "other words that stand alone in here" and rows[2]["n_removed"] == 1
+    assert rows[3]["text"] is None and rows[4]["text"] == "" and rows[5]["text"] == "short"
+    assert rows[0]["n_lines"] == 3
+    # a fuzzy copy goes if its SimHash is within reach, and never goes without edit similarity
+    assert rows[1]["text"] in (texts[1], "short")
+
+
+def test_line_groups_join_fuzzy_crowds(spark):
+    """Lines one edit away from each other form one group, however many; one occurrence stays."""
+    rng = random.Random(1)
+    base = [f"word{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(150)] = f"new{i}"
+        texts.append(" ".join(w))
+    rows = line_dedup.dedup(docs(spark, texts)).collect()
+    kept = sorted(r["doc_id"] for r in rows if r["text"])
+    assert kept[0] == 0 and len(kept) < 50  # near in SimHash, verified, joined
+
+
+def test_edit_similarity_is_exact():
+    rng = random.Random(2)
+
+    def lcs(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            new = [0]
+            for j, b in enumerate(y):
+                new.append(row[j] + 1 if a == b else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for _ in range(400):
+        x, y = ([rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(2))
+        total = len(x) + len(y)
+        want = total == 0 or 2 * lcs(x, y) / total >= 0.8 - 1e-9
+        assert line_dedup.edit_similar(x, y, 0.8) == want
+
+
+def test_simhash_votes_count_bits():
+    import numpy as np
+
+    from siltstone.llm.textkernel import mix
+
+    x, sizes = mix(np.arange(3000, dtype=np.uint64)), np.array([5, 1000, 255, 256, 1, 1483])
+    at = np.r_[0, np.cumsum(sizes)]
+    votes = line_dedup._votes(x, sizes)
+    for i in range(len(sizes)):
+        assert votes[i].tolist() == [int(((x[at[i] : at[i + 1]] >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
+
+
+ITEM = "Question: a train from the town of Arlen leaves at 9 and travels 120 km in 3 hours, so how fast does the train from Arlen go on its way?"
+
+
+def test_decontamination_finds_copies_and_changed_values(spark):
+    bench = spark.createDataFrame([(1, ITEM), (2, "Some other item that no document here repeats in any way at all, be it long or short."), (3, None), (4, "tiny")], "item_id long, text string")
+    other = ITEM.replace("Arlen", "Benford").replace("120", "360").replace(" 9 ", " 7 ").replace("3 hours", "4 hours")
+    mixed = ITEM.replace("the town of Arlen", "the town of Benford").replace("120", "360")
+    texts = ["Intro words first. " + ITEM + " And some more.", ITEM.lower(), "Start here. " + other + " End.", "a clean document about trains and towns that go on and on", None, "", "Begin. " + mixed]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.hits(docs(spark, texts), bench).collect()}
+    assert got[0, 1] == "verbatim" and got[1, 1] == "verbatim" and got[2, 1] == "reparameterised"
+    assert {d for d, _ in got} <= {0, 1, 2, 6}
+    assert got.get((6, 1)) != "reparameterised"  # one name stands for two
+    left = {r["doc_id"] for r in decontam.without_contaminated(docs(spark, texts), bench).collect()}
+    assert {3, 4, 5} <= left and not {0, 1, 2} & left
+
+
+def test_decontamination_both_ways_agree(spark, monkeypatch):
+    d, b = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "item_id", "n_windows").collect()))
+    small = key(decontam.hits(d, b))
+    monkeypatch.setattr(decontam, "INDEX_ROWS", 0)
+    assert key(decontam.hits(d, b)) == small
+    rows = [(r["doc_id"], " ".join(re.findall(r"\w+", (r["text"] or "").lower()))) for r in d.collect()]
+    want = {i for i, t in rows for q in b.collect() if " ".join(re.findall(r"\w+", q["text"].lower())) in t}
+    assert want <= {i for i, _, _ in small}
+
+
+def test_gif_round_trips():
+    rng = random.Random(4)
+    payloads = [media_gif.payload_of(t)[0] for t in (None, "", "a" * 200_000, "".join(chr(rng.randrange(32, 0x2FF)) for _ in range(40_000)))] + [rng.randbytes(64 * 1500)]
+    for p in payloads:
+        frames = list(media_gif.decode(media_gif.encode(p)))
+        assert b"".join(f.patch()[..., 0].tobytes() for f in frames) == p
+        assert sum(f.delay_ms for f in frames) == 100 * len(frames)
+
+
+def test_gif_disposal_transparency_interlace_and_palettes():
+    import struct
+
+    def frame(index_rows, left=0, top=0, disposal=0, transparent=None, palette=None, interlaced=False):
+        h, w = len(index_rows), len(index_rows[0])
+        order = [r for s, k in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(s, h, k)] if interlaced else range(h)
+        data = media_gif._pack(media_gif._lzw_codes(bytes(x for r in order for x in index_rows[r])))
+        out = b"\x21\xf9\x04" + struct.pack("<BHBB", disposal << 2 | (transparent is not None), 5, transparent or 0, 0)
+        out += b"\x2c" + struct.pack("<HHHHB", left, top, w, h, (0x80 if palette else 0) | (0x40 if interlaced else 0)) + (palette or b"") + b"\x08"
+        return out + bytes([len(data)]) + data + b"\0\0"[:1]
+
+    two = bytes([255, 0, 0, 0, 0, 255])
+    head = b"GIF89a" + struct.pack("<HHBBB", 2, 9, 0x80, 0, 0) + bytes([10, 20, 30, 40, 50, 60])
+    gif = head + frame([[0, 1]] * 9, interlaced=True) + frame([[1, 0]], 0, 0, disposal=3, transparent=1) + frame([[0]], 1, 1, disposal=2, palette=two) + frame([[1]], 0, 2) + b"\x3b"
+    frames = list(media_gif.decode(gif))
+    assert [f.delay_ms for f in frames] == [50] * 4
+    assert frames[0].canvas[3].tolist() == [[10, 20, 30, 255], [40, 50, 60, 255]]
+    assert frames[1].canvas[0].tolist() == [[10, 20, 30, 255], [10, 20, 30, 255]]  # index 1 shows what is below
+    assert frames[2].canvas[0].tolist() == [[10, 20, 30, 255], [40, 50, 60, 255]]  # restored
+    assert frames[2].canvas[1][1].tolist() == [255, 0, 0, 255]
+    assert frames[3].canvas[1][1].tolist() == [0, 0, 0, 0]  # cleared
+    assert sum(frames[3].histogram()[:8]) == 17
+    for bad in (b"", b"GIF89a", gif[:40], b"nope" * 9):
+        with pytest.raises(ValueError):
+            list(media_gif.decode(bad))
+
+
+def test_gif_frame_rows(spark):
+    df = spark.createDataFrame([(1, media_gif.encode(bytes(64 * 600))), (2, None), (3, b"bad"), (4, b"")], "doc_id long, media binary")
+    rows = sorted(map(tuple, media_gif.frame_rows(df).select("doc_id", "frame", "height", "error").collect()), key=str)
+    assert [r[:3] for r in rows if r[3] is None] == [(1, 0, 512), (1, 1, 88)] and {r[0] for r in rows if r[3]} == {3, 4}
+
+
+def test_chat_escape_is_exact_and_layouts_map(spark):
+    rng = random.Random(6)
+    bits = ["<", "[", "s>", "/s>", "INST]", "/INST]", "\\", "<SYS>>", "a", "\n", ">", "</SYS>>", "é"]
+    for _ in range(3000):
+        x, y = ("".join(rng.choices(bits, k=8)) for _ in range(2))
+        assert chat_format.unescape(chat_format.escape(x)) == x
+        f, spans = chat_format.format_turns([{"role": y, "text": x}, {"role": "assistant", "text": x}])
+        assert list(chat_format.read_turns(f)) == [(y, x), ("assistant", x)]
+        assert chat_format.unescape("".join(f[a:b] for a, b in spans)).startswith(x if y == "assistant" else x)
+    records = ['{"prompt":"p","completion":"c"}', '{"instruction":"i","input":"n","output":"o"}', '{"conversations":[{"from":"human","value":"h"},{"from":"gpt","value":"g"}]}', '{"x":1}', "broken", None, '{"messages":[{"role":"user","content":null}]}', "[1]"]
+    df = spark.createDataFrame(list(enumerate(records)), "k long, record string")
+    got = {r["k"]: r["turns"] and [tuple(t) for t in r["turns"]] for r in chat_format.canonical_turns(df, "k").collect()}
+    assert got == {0: [("user", "p"), ("assistant", "c")], 1: [("user", "i\n\nn"), ("assistant", "o")], 2: [("user", "h"), ("assistant", "g")], 3: None, 4: None, 5: None, 6: [("user", "")], 7: None}
+
+
+def test_chat_query_matches_brute_force(spark):
+    got = {r["conv_id"]: r for r in llm.op4_chat_formatting(spark, "/root/testdata/sf0.001").collect()}
+    turns: dict = {-1: [("user", llm.CONTROL_TURN), ("assistant", llm.CONTROL_TURN)]}
+    for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns.setdefault(r["conv_id"], []).append((r["role"] or "", r["text"] or ""))
+    assert set(got) == set(turns)
+    for c, ts in turns.items():
+        loss = "".join(t for r, t in ts if r == "assistant")
+        assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(ts), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ts).encode()).hexdigest())
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_packing_is_whole_and_tight(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = llm.word_tokenizer_path()
+    t = Tokenizer.from_file(path)
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").union(docs(spark, [None, "", "it's <|endoftext|> ½ İ"], [-1, -2, -3]))
+    rows = packing.pack(df.coalesce(1), path).collect()
+    pieces: dict = {}
+    windows: dict = {}
+    for r in rows:
+        assert 1 <= r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        pieces.setdefault(r["doc_id"], []).append(r)
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    t.encode_special_tokens = True
+    for r in df.collect():
+        ids = [x for p in sorted(pieces[r["doc_id"]], key=lambda p: p["start"]) for x in p["ids"]]
+        assert ids == t.encode(r["text"] or "", add_special_tokens=False).ids + [2] and all(p["doc_tokens"] == len(ids) for p in pieces[r["doc_id"]])
+    for parts in windows.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= packing.WINDOW
+    total = sum(r["length"] for r in rows)
+    assert 1 - total / (packing.WINDOW * len(windows)) < 0.03
+
+
+def test_differencing_is_nearly_equal():
+    rng = random.Random(8)
+    for _ in range(30):
+        sizes = [rng.randrange(1, 4096) for _ in range(rng.randrange(1, 300))]
+        owner, m = packing.balance(sizes)
+        sums = [0] * m
+        for s, w in zip(sizes, owner.tolist(), strict=True):
+            sums[w] += s
+        assert max(sums) <= 4096 and sum(sums) == sum(sizes)
+    owner, sums = packing.difference([8, 7, 6, 5, 4], 2)
+    assert abs(int(sums[0] - sums[1])) <= 2
+
+
+def test_licences_by_rules(spark):
+    s = licenses.SENTENCES
+    full = ". ".join(s[k] for k in ("apache-1", "apache-2", "apache-4", "apache-5")) + "."
+    wrapped = s["mit-1"].replace("software and", "software\nand").capitalize() + ".\n\nThe above copyright notice and this permission\nnotice shall be included in all copies or substantial portions of the Software."
+    texts = [full, wrapped, "Nothing here.", None, "", "Intro text without a stop\nLicensed under the Apache License, Version 2.0.\nmore", ". ".join(s[k] for k in ("apache-5", "apache-4")) + ".", "Released under the MIT License. Licensed under CC BY-NC 4.0."]
+    got = {r["doc_id"]: r["licences"] for r in licenses.scan(docs(spark, texts)).collect()}
+    assert got == {0: "Apache-2.0", 1: "MIT", 2: "", 3: "", 4: "", 5: "Apache-2.0", 6: "", 7: "CC-BY-NC-4.0;MIT"}
+    assert all(any(c in x for c in licenses.CUES) for x in s.values())
+
+
+def test_toxicity_learns_terms_and_exceptions(spark):
+    rng = random.Random(9)
+    filler = [f"f{rng.randrange(200)}x" for _ in range(5000)]
+    say = lambda *extra: " ".join(rng.sample(filler, 30) + list(extra))
+    texts = [say("you", rng.choice(["blarg", "Bl4rg", "blаrg", "blargish"]), "now") for _ in range(60)] + [say("you", "now") for _ in range(300)] + [say("nice", "blarg", "cake") for _ in range(10)]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i < 60)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, labels)
+    assert any(t.strip().startswith("blar") for t in model.terms) and " nice blarg " in model.phrases
+    score = lambda t: toxicity._score(model, t)
+    assert score("you are so 8lаrg now") > 0.5 > score("have some nice blarg cake")
+    assert score("a clean text") < 0.5
+    rows = toxicity.score(df, model).collect()
+    assert all(r["predicted"] == int(r["doc_id"] < 60) for r in rows)
+    empty = toxicity.fit(df, labels.limit(0))
+    assert all(r["score"] < 1e-6 for r in toxicity.score(docs(spark, ["x", None, ""]), empty).collect())
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    df, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score(df, toxicity.fit(df, labels)).join(labels, "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    bad, good = ([r["predicted"] for r in held if r["toxic"] == x] for x in (1, 0))
+    assert sum(bad) / len(bad) > 0.75 and sum(good) / len(good) < 0.02
+
+
+OPERATORS = {
+    "decontamination": lambda s, d: decontam.hits(d, s.createDataFrame([(1, ITEM), (1, ITEM), (None, "x y z " * 20)], "item_id long, text string")),
+    "lines": lambda s, d: line_dedup.dedup(d),
+    "gif": lambda s, d: media_gif.media_digest(media_gif.sample_media(d)),
+    "debruijn": lambda s, d: debruijn.dedup(d),
+    "simhash": lambda s, d: simhash.near_duplicates(d),
+    "suffixes": lambda s, d: suffix_array.dedup(d),
+    "packing": lambda s, d: packing.pack(d, llm.word_tokenizer_path()),
+    "licences": lambda s, d: licenses.scan(d),
+    "toxicity": lambda s, d: toxicity.score(d, toxicity.Model({" w1": 2.0}, (), 0.5, 1.0, -1.0)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_awkward_and_empty_tables(spark, name):
+    run = OPERATORS[name]
+    df = awkward(spark)
+    rows = run(spark, df).collect()
+    if name == "decontamination":
+        assert {r["doc_id"] for r in rows} <= {None, 7}
+    elif name == "packing":
+        assert len({r["doc_id"] for r in rows}) == 9
+    else:
+        assert len(rows) == df.count()
+    if name == "suffixes":
+        by = {}
+        for r in rows:
+            by.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"]))
+        assert by[4][0][0] == by[4][0][1] and all(x[1] == 0 or x[0] > x[1] for x in by[3])  # 4 copies 3
+        assert sorted(by[None])[0] == (0, 0) and sorted(by[None])[1] == (120, 120)  # a null id comes after 7
+    assert run(spark, df.limit(0)).count() == 0
+
+
+def test_pipeline_stages_keep_columns_and_decide(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    out = spark.read.parquet(f"{d}/documents.parquet")
+    columns, ids = out.columns, {r["doc_id"] for r in out.select("doc_id").collect()}
+    for name, stage in pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: r for r in out.collect()}
+        stage(spark, out, d).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.columns == columns
+        after = {r["doc_id"]: r for r in out.collect()}
+        assert set(after) <= ids and set(after) <= set(before)
+        if name == "line_dedup":
+            assert set(after) == set(before) and all(r["n_chars"] == len(r["text"]) for r in after.values())
+        elif name == "simhash_near_dedup":
+            assert len({brute_fingerprint(r["text"]) for r in after.values()}) == len(after)
+            assert {brute_fingerprint(r["text"]) for r in before.values()} >= {brute_fingerprint(r["text"]) for r in after.values()}
+        else:
+            assert all(after[i]["text"] == before[i]["text"] for i in after)
+    rows = pipeline.STAGES[-1][1](spark, out, d).collect()
+    assert {r["doc_id"] for r in rows} == set(after)
+    assert sum(r["length"] for r in rows if r["start"] == 0 and r["length"] == r["doc_tokens"]) > 0
+    assert {r["doc_id"] for r in pipeline.run(spark, d).collect()} == set(after)
