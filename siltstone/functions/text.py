@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 LAO = "[຀-໿]"
 
@@ -14,7 +15,7 @@ def collapse(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, "[\\s \u0085  -     　]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized(x):
     """Entities, NFC, zero-width characters and white space: what collapse() can't say exactly."""
     import html
@@ -27,7 +28,7 @@ def normalized(x):
     return x.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def match_key(x):
     """normalized(), casefolded, word characters only; null is empty."""
     import html
@@ -41,7 +42,7 @@ def match_key(x):
     return x.fillna("").map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compact_title(x):
     """NFKC, casefolded, word characters only, without zero-width spaces and soft hyphens."""
     import re
@@ -50,7 +51,7 @@ def compact_title(x):
     return x.fillna("").map(lambda t: re.sub(r"\W+", "", unicodedata.normalize("NFKC", t).casefold().replace("​", "").replace("­", "")))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def titles_agree(a, b):
     """Compacted titles that hold one another or match by 0.82 or more."""
     import re
@@ -77,6 +78,11 @@ def clean_lines(x: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any script at both ends; trim() knows spaces only."""
+    return F.regexp_replace(x, "(?U)^\\s+|\\s+$", "")
+
+
 def lao_count(x: Column) -> Column:
     return F.regexp_count(x, F.lit(LAO))
 
@@ -90,9 +96,9 @@ def language_of(x: Column) -> Column:
 def usable_title(title: Column, body: Column, least_script: int = 3, script: str = LAO) -> Column:
     """The title, or the body's first full line where the title is blank, broken or lacks the script."""
     broken = F.regexp_count(title, F.lit("�")) / F.greatest(F.length(title), F.lit(1)) > 0.2
-    bad = (F.trim(title) == "") | broken | (F.regexp_count(title, F.lit(script)) < least_script)
-    first = F.get(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda s: s != ""), F.lit(0))
-    return F.when(bad, F.coalesce(first, title)).otherwise(F.trim(title))
+    bad = (strip(title) == "") | broken | (F.regexp_count(title, F.lit(script)) < least_script)
+    first = F.get(F.filter(F.transform(F.split(body, "\n"), strip), lambda s: s != ""), F.lit(0))
+    return F.when(bad, F.coalesce(first, title)).otherwise(strip(title))
 
 
 def confidence(x: Column) -> Column:
