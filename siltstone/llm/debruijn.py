@@ -1,6 +1,6 @@
 """Substring dedup by De Bruijn compaction of repeated token windows.
 
-Edges are windows of WIDTH words. Only windows whose anchor several documents have are looked at (see repeats). Within
+Edges are windows of WIDTH words. Equal texts are one text of their least document. Only windows whose anchor several documents have are looked at (see repeats). Within
 one anchor's partition edges that always follow each other are compacted at once into nonbranching pieces; pieces are
 glued into longer paths by Spark joins wherever a piece and its successor have each other as their only neighbours.
 Source coordinates verify the paths: every occurrence's words are digested from its document and must agree with those
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
-from .repeats import Unit, _longs, by_anchor, candidates, distinct_segments, keyed, segments
+from .repeats import Unit, _longs, by_anchor, candidates, distinct_segments, keyed, originals, segments
 
 WIDTH, GRAM = 13, 7
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -56,14 +56,14 @@ def _compact(t: pa.Table):
     yield pa.RecordBatch.from_arrays([_longs(h[of[start]]), _longs(seg[of[start]]), _longs(start - first[of[start]]), _longs(length), _longs(least[name[start]]), _longs(edge[start])], ["h", "seg", "skip", "n", "owner", "edge"])
 
 
-def pieces(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(rk, doc, start, n, owner, edge): occurrences of nonbranching pieces that several documents have."""
-    found = materialise(candidates(docs, unit), "debruijn-anchors")
+def pieces(docs: DataFrame, firsts: DataFrame, unit: Unit) -> DataFrame:
+    """(rk, doc, start, n, owner, edge): occurrences of nonbranching pieces that several texts have."""
+    found = materialise(candidates(docs, firsts, unit), "debruijn-anchors")
     cut = materialise(segments(docs, found, unit), "debruijn-segments")
     discard(found)
-    local = by_anchor(distinct_segments(cut), _compact, "h long, seg long, skip long, n long, owner long, edge long")
+    local = materialise(by_anchor(distinct_segments(cut), _compact, "h long, seg long, skip long, n long, owner long, edge long"), "debruijn-local")
     out = materialise(cut.select("h", "seg", "rk", "doc", "start").join(local, ["h", "seg"]).select("rk", "doc", (F.col("start") + F.col("skip")).alias("start"), "n", "owner", "edge"), "debruijn-pieces")
-    discard(cut)
+    discard(cut, local)
     return out
 
 
@@ -100,9 +100,11 @@ def _paths(start, n, owner, edge, glued) -> tuple[np.ndarray, np.ndarray, np.nda
     return edge[head], start[head], start[last] + n[last] + WIDTH - 1, owner[head]
 
 
-def _apply(text: bytes, doc: int, paths: tuple) -> tuple[int, int, bytes, list[int]]:
-    """(words, words removed, what is left, digest of each path's words)."""
+def _apply(text: bytes, doc: int, copy: bool, paths: tuple) -> tuple[int, int, bytes, list[int]]:
+    """(words, words removed, what is left, digest of each path's words); a copy is one path from end to end."""
     found = _WORD.findall(text)
+    if copy:
+        return len(found), len(found) if len(found) >= WIDTH else 0, b"" if len(found) >= WIDTH else b" ".join(found), []
     _, start, end, owner = paths
     if not len(start):
         return len(found), 0, b" ".join(found), []
@@ -117,17 +119,19 @@ def _apply(text: bytes, doc: int, paths: tuple) -> tuple[int, int, bytes, list[i
 
 
 def _results(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
+    """spans: rk of every text's first row, with its pieces if it has any."""
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lists = [c.fill_null([]) for c in part.columns[3:]]
+                lists = [c.fill_null([]) for c in part.columns[4:]]
                 cuts = lists[0].offsets.to_numpy().astype(np.int64)
                 flat = [c.values.to_numpy(zero_copy_only=False) for c in lists]
                 rows, paths, sizes = [], [], []
-                for i, (t, d) in enumerate(zip(part.column(2).cast(pa.binary()), part.column(1).to_pylist(), strict=True)):
+                for i, (t, d, copy) in enumerate(zip(part.column(2).cast(pa.binary()), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True)):
                     p = _paths(*(x[cuts[i] : cuts[i + 1]] for x in flat))
-                    words, removed, kept, marks = _apply(t.as_py() or b"", d, p)
+                    words, removed, kept, marks = _apply(t.as_py() or b"", d, copy, p)
                     rows.append((words, removed, hashlib.sha256(kept).hexdigest(), kept))
                     sizes.append(len(marks))
                     paths.append((p[0], p[1], p[2] - p[1], p[3], np.array(marks, np.int64)))
@@ -137,16 +141,17 @@ def _results(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                     cols.append(pa.array([r[3].decode() for r in rows], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "paths", *["kept_text"] * with_text])
 
-    both = docs.join(spans.hint("shuffle_hash"), "rk", "left").select("doc_id", "doc", "text", *_FIELDS)
+    both = docs.join(spans.hint("shuffle_hash"), "rk", "left").select("doc_id", "doc", "text", F.col("first").isNull().alias("copy"), *_FIELDS)
     return both.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, paths {_PATHS_SQL}{', kept_text string' * with_text}")
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, paths, kept_text): paths are the document's repeated paths with coordinates."""
     docs = keyed(df, key, text)
+    firsts = materialise(originals(docs), "debruijn-firsts")
     for seed in range(4):
-        parts = pieces(docs, Unit(WIDTH, GRAM, True, seed))
-        spans = materialise(glue(parts), "debruijn-spans")
+        parts = pieces(docs, firsts, Unit(WIDTH, GRAM, True, seed))
+        spans = materialise(firsts.select("rk", F.lit(True).alias("first")).join(glue(parts), "rk", "left"), "debruijn-spans")
         out = materialise(_results(docs, spans, with_text), "debruijn-results")
         discard(parts, spans)
         told = out.select(F.explode("paths").alias("p")).groupBy("p.path", "p.n_words").agg(F.min("p.digest").alias("a"), F.max("p.digest").alias("b"))

@@ -1,10 +1,9 @@
 """Where two documents may share a window of `width` units (words or bytes): common first steps of substring dedup.
 
-A window's anchor is its `gram`-unit substring of the least hash, so equal windows have equal anchors at equal places.
-candidates() finds the anchors that more than one document has: a row for each document and distinct anchor goes to the
-anchor's partition, but an anchor that several documents of one chunk share is settled there, so a crowded anchor sends
-one row a chunk. segments() cuts the documents that have such anchors into the maximal runs of windows that share one
-anchor; equal windows lie in segments with equal anchors, which therefore meet by it.
+A window's anchor is the least hash of its `gram`-unit substrings, so equal windows have equal anchors. Only the first of equal texts takes part.
+candidates() finds the anchors that more than one text has: a row for each text and distinct anchor goes to the
+anchor's partition, but an anchor that several texts of one chunk share is settled there, so a crowded anchor sends
+one row a chunk. segments() cuts the documents that have such anchors into runs of windows that share one anchor; equal windows lie in segments with equal anchors, which therefore meet by it.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, doc_key
-from .textkernel import BYTE_VALUES, mix, prefix_hash, range_hash, sliding_min_pick, text_chunks, word_hashes, words
+from .textkernel import BYTE_VALUES, mix, prefix_hash, range_hash, sliding_hash, sliding_min, text_chunks, word_hashes, words
 
 CHUNK = 1 << 19
 
@@ -38,82 +37,105 @@ class Unit:
             values, before = BYTE_VALUES[data], offsets
         return (mix(values + np.uint64(self.seed)) if self.seed else values), before
 
-    def windows(self, prefix: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first unit of each window inside one text, its text, place of its anchor, hash of the anchor)."""
+    def runs(self, prefix: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of consecutive windows of one text with one anchor: (first window, windows, text, anchor)."""
         n = len(prefix) - 1
         if n < self.width:
             none = np.zeros(0, np.int64)
             return none, none, none, np.zeros(0, np.uint64)
-        at = np.arange(n - self.gram + 1)
-        grams = range_hash(prefix, at, at + self.gram)
-        pick = sliding_min_pick(grams, self.width - self.gram + 1)
-        text = np.repeat(np.arange(len(before) - 1), np.diff(before))[: len(pick)]
-        first = np.flatnonzero(at[: len(pick)] + self.width <= before[1:][text])
-        pick = pick[first]
-        return first, text[first], pick, grams[pick]
+        span = self.width - self.gram + 1
+        anchor = sliding_min(sliding_hash(prefix, self.gram), span)
+        new = np.ones(len(anchor) + 1, bool)
+        np.not_equal(anchor[1:], anchor[:-1], out=new[1:-1])
+        # The windows of a text end `width` units before its end; those across texts make runs that are left out.
+        last = np.maximum(before[1:] - self.width + 1, before[:-1])
+        new[before[before <= len(anchor)]] = True
+        new[last[last <= len(anchor)]] = True
+        heads = np.flatnonzero(new)
+        first, size = heads[:-1], np.diff(heads)
+        text = np.searchsorted(before, first, "right") - 1
+        inside = first < last[text]
+        first, size, text = first[inside], size[inside], text[inside]
+        # Runs of periodic texts have no end of their own: cut them where no other run could be longer.
+        parts = -(-size // span)
+        if len(parts) and parts.max() > 1:
+            at = np.repeat(np.arange(len(first)), parts)
+            k = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+            first, size, text = first[at] + span * k, np.minimum(span, size[at] - span * k), text[at]
+        return first, size, text, anchor[first]
 
 
 def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rk, doc_id, doc, text): rk names a row by id and text, doc orders documents (a null id comes last)."""
+    """(rk, tk, doc_id, doc, text): rk names a row by id and text, tk a text; doc orders documents (a null id comes last)."""
     df = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return df.select(doc_key().alias("rk"), "doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), "text")
+    return df.select(doc_key().alias("rk"), F.xxhash64("text").alias("tk"), "doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), "text")
+
+
+def originals(docs: DataFrame) -> DataFrame:
+    """(tk, rk): the row of each text with the least document. Every other row of the text is a whole copy of it."""
+    return docs.groupBy("tk").agg(F.min("doc").alias("doc"), F.min_by("rk", "doc").alias("rk")).select("tk", "rk")
 
 
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
 
 
-def candidates(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(rk, ks): the anchors of each document that others may have too."""
+def candidates(docs: DataFrame, firsts: DataFrame, unit: Unit) -> DataFrame:
+    """(rk, ks): the anchors of each text that others may have too, by the row of firsts (see originals()) that stands for it."""
 
     def spread(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy().view(np.uint64)
             for a, b, data, offsets in text_chunks(batch.column(1), CHUNK):
                 values, before = unit.values(data, offsets)
-                _, text, _, k = unit.windows(prefix_hash(values), before)
+                _, _, text, k = unit.runs(prefix_hash(values), before)
                 if not len(k):
                     continue
-                change = np.r_[True, (k[1:] != k[:-1]) | (text[1:] != text[:-1])]
-                k, text = k[change], text[change]
-                order = np.lexsort((text, k))
-                k, text = k[order], text[order]
-                new = np.r_[True, (k[1:] != k[:-1]) | (text[1:] != text[:-1])]
-                k, rk = k[new], keys[a:b][text[new]]
+                tk = keys[a:b][text]
+                order = np.lexsort((tk, k))
+                k, tk = k[order], tk[order]
+                new = np.r_[True, (k[1:] != k[:-1]) | (tk[1:] != tk[:-1])]
+                k, tk = k[new], tk[new]
                 head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
                 size = np.diff(np.r_[head, len(k)])
                 shared = np.repeat(size > 1, size)
                 witness = k[head[size > 1]]
-                # kind 0: to be settled by others' rows with the anchor; 1: settled, dealt by document; 2: says that the anchor is shared
+                # kind 0: to be settled by others' rows with the anchor; 1: settled, dealt by text; 2: says that the anchor is shared
                 kind = np.r_[shared.astype(np.int8), np.full(len(witness), 2, np.int8)]
-                yield pa.RecordBatch.from_arrays([_longs(np.r_[np.where(shared, mix(rk), k), witness]), _longs(np.r_[k, witness]), _longs(np.r_[rk, np.zeros(len(witness), np.uint64)]), pa.array(kind)], ["key", "k", "rk", "kind"])
+                yield pa.RecordBatch.from_arrays([_longs(np.r_[np.where(shared, mix(tk), k), witness]), _longs(np.r_[k, witness]), _longs(np.r_[tk, np.zeros(len(witness), np.uint64)]), pa.array(kind)], ["key", "k", "tk", "kind"])
 
     def settle(batches):
+        """Rows in order of key, kind and text: an open row counts if its anchor has a witness or another text."""
         held = None  # the last row so far, which the next may confirm
         for batch in batches:
-            key, k, rk, kind = (c.to_numpy() for c in batch.columns)
+            key, k, tk, kind = (c.to_numpy() for c in batch.columns)
             if not len(key):
                 continue
-            before = np.zeros(len(key), bool)  # the row before has the same anchor
+            before = np.zeros(len(key), bool)  # a row before says that the anchor is shared
             if held is not None:
-                key, k, rk, kind = (np.r_[h, x] for h, x in zip(held[0], (key, k, rk, kind), strict=True))
+                key, k, tk, kind = (np.r_[h, x] for h, x in zip(held[0], (key, k, tk, kind), strict=True))
                 before = np.r_[held[1], before]
-            open_ = kind != 1
-            same = (key[1:] == key[:-1]) & open_[1:] & open_[:-1]
-            before[1:] |= same
-            take = (kind == 1) | ((kind == 0) & (before | np.r_[same, False]))
-            held = ((key[-1:], k[-1:], rk[-1:], kind[-1:]), before[-1:])
+            run = np.r_[0, np.cumsum((key[1:] != key[:-1]) | (kind[1:] == 1) | (kind[:-1] == 1))]
+            other = np.r_[False, (run[1:] == run[:-1]) & ((tk[1:] != tk[:-1]) | (kind[:-1] == 2))]
+            # What is said once in a run holds for all of it that comes later.
+            heads = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+            said = np.cumsum(before | other)
+            since = said - np.repeat(said[heads] - (before | other)[heads], np.diff(np.r_[heads, len(run)]))
+            told = since > 0
+            ahead = np.r_[(run[1:] == run[:-1]) & (tk[1:] != tk[:-1]), False]
+            take = (kind == 1) | ((kind == 0) & (told | ahead))
+            held = ((key[-1:], k[-1:], tk[-1:], kind[-1:]), told[-1:] | (kind[-1:] == 2))
             take[-1] = False
-            yield pa.RecordBatch.from_arrays([_longs(rk[take]), _longs(k[take])], ["rk", "k"])
+            yield pa.RecordBatch.from_arrays([_longs(tk[take]), _longs(k[take])], ["tk", "k"])
         if held is not None:
-            (_, k, rk, kind), before = held
-            take = (kind == 1) | ((kind == 0) & before)
-            yield pa.RecordBatch.from_arrays([_longs(rk[take]), _longs(k[take])], ["rk", "k"])
+            (_, k, tk, kind), told = held
+            take = (kind == 1) | ((kind == 0) & told)
+            yield pa.RecordBatch.from_arrays([_longs(tk[take]), _longs(k[take])], ["tk", "k"])
 
-    rows = docs.select("rk", "text").mapInArrow(spread, "key long, k long, rk long, kind byte")
-    # Equal keys of kind 0 and 2 lie side by side after the sort, as kind 1 comes apart from them.
-    settled = rows.repartition("key").sortWithinPartitions("key", F.col("kind") == 1).mapInArrow(settle, "rk long, k long")
-    return settled.groupBy("rk").agg(F.collect_list("k").alias("ks"))
+    rows = docs.select("tk", "text").mapInArrow(spread, "key long, k long, tk long, kind byte")
+    # Witnesses come first, then the open rows of an anchor by text; settled rows lie apart.
+    settled = rows.repartition("key").sortWithinPartitions("key", F.expr("CASE kind WHEN 2 THEN 0 WHEN 0 THEN 1 ELSE 2 END"), "tk").mapInArrow(settle, "tk long, k long")
+    return settled.groupBy("tk").agg(F.collect_set("k").alias("ks")).join(firsts, "tk").select("rk", "ks")
 
 
 def segments(docs: DataFrame, found: DataFrame, unit: Unit) -> DataFrame:
@@ -130,25 +152,23 @@ def segments(docs: DataFrame, found: DataFrame, unit: Unit) -> DataFrame:
             for a, b, data, offsets in text_chunks(batch.column(2), CHUNK):
                 values, before = unit.values(data, offsets)
                 prefix = prefix_hash(values)
-                first, text, pick, k = unit.windows(prefix, before)
+                begin, n, text, k = unit.runs(prefix, before)
                 named = lambda key, row: mix(key ^ mix(row.astype(np.uint64) + np.uint64(1)))
                 known = named(flat[ends[a] : ends[b]], np.repeat(np.arange(b - a), np.diff(ends[a : b + 1])))
                 keep = np.isin(named(k, text), known)
-                first, text, pick, k = first[keep], text[keep], pick[keep], k[keep]
-                if not len(first):
+                begin, n, text, k = begin[keep], n[keep], text[keep], k[keep]
+                if not len(begin):
                     continue
-                s = np.flatnonzero(np.r_[True, (pick[1:] != pick[:-1]) | (first[1:] != first[:-1] + 1) | (text[1:] != text[:-1])])
-                n = np.diff(np.r_[s, len(first)])
-                begin, long = first[s], n + unit.width - 1
+                long = n + unit.width - 1
                 seg = range_hash(prefix, begin, begin + long)
+                at = np.r_[0, np.cumsum(n if unit.of_words else long)]
+                where = np.arange(at[-1]) + np.repeat(begin - at[:-1], np.diff(at))
                 if unit.of_words:
-                    raw, sizes = range_hash(prefix, first, first + unit.width).tobytes(), 8 * n
+                    raw, sizes = range_hash(prefix, where, where + unit.width).tobytes(), 8 * n
                 else:
-                    at = np.r_[0, np.cumsum(long)]
-                    raw, sizes = data[np.arange(at[-1]) + np.repeat(begin - at[:-1], long)].tobytes(), long
-                payload = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32).tobytes()), pa.py_buffer(raw)])
-                row = text[s]
-                yield pa.RecordBatch.from_arrays([_longs(k[s]), _longs(seg), _longs(rk[a:b][row]), _longs(doc[a:b][row]), _longs(begin - before[row]), payload], ["h", "seg", "rk", "doc", "start", "payload"])
+                    raw, sizes = data[where].tobytes(), long
+                payload = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32).tobytes()), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([_longs(k), _longs(seg), _longs(rk[a:b][text]), _longs(doc[a:b][text]), _longs(begin - before[text]), payload], ["h", "seg", "rk", "doc", "start", "payload"])
 
     both = docs.select("rk", "doc", "text").join(found.hint("shuffle_hash"), "rk").select("rk", "doc", "text", "ks")
     return both.mapInArrow(run, "h long, seg long, rk long, doc long, start long, payload binary")

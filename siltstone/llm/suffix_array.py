@@ -1,7 +1,8 @@
 """Substring dedup by the interval tree of an enhanced suffix array.
 
 Strings of WIDTH bytes that documents share have a shared anchor (see repeats), so all suffixes that begin with such a
-string meet in their anchor's partition, as the segments around that anchor. Equal segments are one segment with its
+string meet in their anchor's partition, as the segments around that anchor. Equal texts are one text of their least
+document, and equal segments one segment with its
 least and greatest document before they are dealt out, so copies don't crowd a partition. There the suffixes are
 sorted, neighbours' common prefixes are measured, and one scan with a stack visits the common-prefix intervals: an
 interval of WIDTH or more bytes whose suffixes are preceded by different bytes (or begin a segment) is a maximal repeat,
@@ -15,6 +16,7 @@ rows repeat their results. Extra columns are dropped. A text must fit into a tas
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
-from .repeats import Unit, _longs, by_anchor, candidates, distinct_segments, keyed, segments
+from .repeats import Unit, _longs, by_anchor, candidates, distinct_segments, keyed, originals, segments
 
 WIDTH, GRAM = 50, 20
 _BORDER = 256  # what stands before a segment's first byte: differs from every byte and from itself
@@ -81,8 +83,12 @@ def intervals(common: list[int], left: list[int], least: int):
             stack.append([now, first, mark])
 
 
-def _groups(t: pa.Table):
-    """(h, seg, skip, length, owner) for each occurrence of each maximal repeat of several documents in the segments of some anchors."""
+def _groups(t: pa.Table, all_occurrences: bool):
+    """(h, seg, skip, length, owner) for each occurrence of each maximal repeat of several documents in the segments of some anchors.
+
+    Without all_occurrences only what removal needs: the spans of a segment that lie in a document before all of its
+    own, united, and the whole segment as a repeat of its first document.
+    """
     h, seg, lo, hi = (t.column(c).to_numpy() for c in ("h", "seg", "lo", "hi"))
     payload = t.column("payload").combine_chunks()
     payload = payload.chunk(0) if isinstance(payload, pa.ChunkedArray) else payload
@@ -132,50 +138,71 @@ def _groups(t: pa.Table):
         shared = np.repeat(owner < most, n)
         add(of[member][shared], skip[member][shared], np.repeat(found[:, 2], n)[shared], np.repeat(owner, n)[shared])
     segs, skip, length, owner = (np.concatenate(x) for x in out)
+    if not all_occurrences:
+        early = np.flatnonzero(owner < lo[segs])
+        early = early[np.lexsort((skip[early], segs[early]))]
+        base = segs[early] * (int(np.diff(at).max()) + 2)
+        begin, reach = base + skip[early], np.maximum.accumulate(base + skip[early] + length[early]) if len(early) else base
+        head = np.flatnonzero(np.r_[True, begin[1:] > reach[:-1]]) if len(early) else early
+        last = np.r_[head[1:], len(early)] - 1 if len(early) else head
+        n = len(whole)
+        segs, skip, length, owner = (np.r_[a[:n], b] for a, b in ((segs, segs[early][head]), (skip, skip[early][head]), (length, reach[last] - begin[head]), (owner, owner[early][head])))
     yield pa.RecordBatch.from_arrays([_longs(h[segs]), _longs(seg[segs]), _longs(skip), _longs(length), _longs(owner)], ["h", "seg", "skip", "length", "owner"])
 
 
-def maximal_repeats(docs: DataFrame) -> DataFrame:
-    """(rk, doc, start, length, owner): occurrences of maximal repeats of several documents; owner is the first of these."""
+def maximal_repeats(docs: DataFrame, firsts: DataFrame, all_occurrences: bool = True) -> DataFrame:
+    """(rk, doc, start, length, owner): occurrences of maximal repeats of several texts; owner is their first document.
+
+    Without all_occurrences only those that removal needs, united where they overlap in a segment.
+    """
     unit = Unit(WIDTH, GRAM, False)
-    found = materialise(candidates(docs, unit), "suffixes-anchors")
+    found = materialise(candidates(docs, firsts, unit), "suffixes-anchors")
     cut = materialise(segments(docs, found, unit), "suffixes-segments")
     discard(found)
-    groups = by_anchor(distinct_segments(cut), _groups, "h long, seg long, skip long, length long, owner long")
+    groups = materialise(by_anchor(distinct_segments(cut), partial(_groups, all_occurrences=all_occurrences), "h long, seg long, skip long, length long, owner long"), "suffixes-groups")
     out = materialise(cut.select("h", "seg", "rk", "doc", "start").join(groups, ["h", "seg"]).select("rk", "doc", (F.col("start") + F.col("skip")).alias("start"), "length", "owner"), "suffixes-repeats")
-    discard(cut)
+    discard(cut, groups)
     return out
 
 
-def _apply(text: bytes, spans: list[dict]) -> tuple[int, int, int, str, bytes]:
+def _apply(text: bytes, copy: bool, starts: list[int], ends: list[int]) -> tuple[int, int, int, bytes]:
+    """(bytes, bytes removed, runs removed, what is left) for spans in order of their starts; a copy is one repeat from end to end."""
+    if copy and len(text) >= WIDTH:
+        return len(text), len(text), 1, b""
     kept, at, removed, runs, end = [], 0, 0, 0, -1
-    for s in spans:
-        if s["start"] > end:
+    for s, e in zip(starts, ends, strict=True):
+        if s > end:
             runs += 1
-            kept.append(text[at : s["start"]])
-            at = s["start"]
-        if s["end"] > at:
-            removed += s["end"] - at
-            at = s["end"]
-        end = max(end, s["end"])
+            kept.append(text[at:s])
+            at = s
+        if e > at:
+            removed += e - at
+            at = e
+        end = max(end, e)
     kept.append(text[at:])
-    rest = b"".join(kept)
-    return len(text), removed, runs, hashlib.sha256(rest).hexdigest(), rest
+    return len(text), removed, runs, b"".join(kept)
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is what is left, as bytes, since cuts may split characters."""
     docs = keyed(df, key, text)
-    repeats = maximal_repeats(docs)
-    spans = repeats.where("owner < doc").groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
+    firsts = materialise(originals(docs), "suffixes-firsts")
+    repeats = maximal_repeats(docs, firsts, all_occurrences=False)
+    listed = repeats.where("owner < doc").groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
+    listed = listed.select("rk", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    spans = materialise(firsts.select("rk", F.lit(True).alias("first")).join(listed, "rk", "left"), "suffixes-spans")
+    discard(repeats)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_bytes]
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [_apply(t.as_py() or b"", s or []) for t, s in zip(part.column(1).cast(pa.binary()), part.column(2).to_pylist(), strict=True)]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_bytes]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_bytes])
+                rows = [_apply(t.as_py() or b"", c, s or [], e or []) for t, c, s, e in zip(part.column(1).cast(pa.binary()), *(x.to_pylist() for x in part.columns[2:]), strict=True)]
+                cols = [part.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string())]
+                if with_bytes:
+                    cols.append(pa.array([r[3] for r in rows], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    both = docs.join(spans.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", "spans")
+    both = docs.join(spans.hint("shuffle_hash"), "rk", "left").select("doc_id", "text", F.col("first").isNull().alias("copy"), "starts", "ends")
     return both.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary' * with_bytes}")

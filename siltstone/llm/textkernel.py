@@ -23,10 +23,11 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -107,17 +108,20 @@ def window_hashes(hashes: np.ndarray, before: np.ndarray, k: int) -> tuple[np.nd
     return first, range_hash(prefix_hash(hashes), first, first + k)
 
 
-def sliding_min_pick(values: np.ndarray, w: int) -> np.ndarray:
-    """For each window of w consecutive values the index of its least value (the leftmost of equal ones)."""
-    n = len(values) - w + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    best, at, span = values.copy(), np.arange(len(values)), 1
+def sliding_hash(prefix: np.ndarray, k: int) -> np.ndarray:
+    """range_hash() of every k consecutive values."""
+    n = len(prefix) - k
+    x = prefix[k:] - prefix[:-k]
+    x *= _power(_P_INV, "i", n)
+    x += np.uint64(k)
+    return mix(x)
+
+
+def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
+    """The least of every w consecutive values."""
+    best, span = values, 1
     while span < w:
         step = min(span, w - span)
-        m = len(best) - step
-        later = best[step:] < best[:m]
-        at = np.where(later, at[step:], at[:m])
-        best = np.where(later, best[step:], best[:m])
+        best = np.minimum(best[:-step], best[step:])
         span += step
-    return at
+    return best
