@@ -173,7 +173,7 @@ def hits(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "
     sizes = {r["w"]: r["c"] for r in theirs.groupBy("w").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most four rows
     index = None
     if sum(sizes.values()) <= INDEX_ROWS:
-        index = np.unique(np.array([r["h"] for r in theirs.select("h").distinct().collect()], np.int64).view(np.uint64))
+        index = np.unique(theirs.select("h").toArrow().column(0).to_numpy().view(np.uint64))
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("rk", doc_key())
     if not sizes:
         return spark.createDataFrame([], f"rk long, doc_id {df.schema[key].dataType.simpleString()}, item_id long, n_windows long, plain_cover double, template_cover double, kind string")

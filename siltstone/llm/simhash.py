@@ -3,7 +3,8 @@
 A fingerprint has 64 bits; two link at RADIUS or fewer differing bits. It is cut into SEGMENTS equal segments, so
 linked fingerprints differ by at most RADIUS // SEGMENTS bits in one of them: each fingerprint probes the table of that
 segment with every value of that small Hamming ball, and whole distances are verified. Only distinct fingerprints take
-part, so copies cost nothing. Distances are
+part, so copies cost nothing. Those with an equal segment are first linked to the least of them; the balls then make
+links only between fingerprints that nothing joins yet, so a crowd doesn't pair off with itself. Distances are
 verified inside the join, so a crowded table value makes comparisons but only links as rows.
 
 Texts: null and empty have fingerprint zero; rows of one id count as one document's versions and each keeps its own
@@ -17,7 +18,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, materialise
@@ -68,20 +69,31 @@ def _values(segment: int, ball: bool) -> list:
     return [own.bitwiseXOR(F.lit(1 << b if b >= 0 else 0).cast("long")).bitwiseOR(tag) for b in range(-1, width)]
 
 
-def links(marks: DataFrame) -> DataFrame:
-    """Pairs (fp, other), fp < other, of distinct fingerprints within RADIUS bits, each at least once."""
-    probe = marks.select("fp", F.explode(F.array(*[v for s in range(SEGMENTS) for v in _values(s, True)])).alias("k"))
-    table = marks.select(F.col("fp").alias("other"), F.explode(F.array(*[v for s in range(SEGMENTS) for v in _values(s, False)])).alias("k"))
-    near = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
-    return probe.join(table, (probe.k == table.k) & near).select("fp", "other")
+def _near(x: str, y: str):
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= RADIUS
+
+
+def star_links(marks: DataFrame) -> DataFrame:
+    """(a, b): documents of each fingerprint and of the least one with an equal segment, if near: n links for a crowd of n."""
+    own = marks.select("fp", "first", F.explode(F.array(*[v for s in range(SEGMENTS) for v in _values(s, False)])).alias("k"))
+    least = own.withColumn("m", F.min(F.struct("fp", "first")).over(Window.partitionBy("k"))).select("fp", "first", F.col("m.fp").alias("other"), F.col("m.first").alias("least"))
+    return least.where((F.col("fp") != F.col("other")) & _near("fp", "other")).select(F.col("first").alias("a"), F.col("least").alias("b"))
+
+
+def links(marks: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): documents of fingerprints within RADIUS bits that groups (id, root) doesn't join yet."""
+    named = marks.join(groups, marks["first"] == groups["id"], "left").select("fp", "first", F.coalesce("root", "first").alias("g"))
+    probe = named.select("fp", F.col("first").alias("a"), F.col("g").alias("ga"), F.explode(F.array(*[v for s in range(SEGMENTS) for v in _values(s, True)])).alias("k"))
+    table = named.select(F.col("fp").alias("other"), F.col("first").alias("b"), F.col("g").alias("gb"), F.explode(F.array(*[v for s in range(SEGMENTS) for v in _values(s, False)])).alias("k"))
+    return probe.join(table, (probe.k == table.k) & (F.col("fp") < F.col("other")) & (F.col("ga") != F.col("gb")) & _near("fp", "other")).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component): component is the least key reachable over links, the row's own included."""
     marked = materialise(fingerprints(df, key, text), "simhash-marks")
     marks = materialise(marked.groupBy("fp").agg(F.min(F.coalesce(key, F.lit(LAST_ID))).alias("first")), "simhash-distinct")
-    found = links(marks).distinct()
-    edges = found.join(marks.withColumnRenamed("first", "a"), "fp").join(marks.select(F.col("fp").alias("other"), F.col("first").alias("b")), "other").select("a", "b")
+    stars = materialise(star_links(marks).distinct(), "simhash-stars")
+    edges = stars.unionByName(links(marks, components(stars, "simhash-star-components")))
     roots = components(edges, "simhash-components")
     named = marks.join(roots, marks["first"] == roots["id"], "left").select("fp", F.coalesce("root", "first").alias("component"))
     return marked.join(named, "fp").select(key, "fp", "component")

@@ -464,3 +464,15 @@ def test_pipeline_stages_keep_columns_and_decide(spark, tmp_path):
     assert {r["doc_id"] for r in rows} == set(after)
     assert sum(r["length"] for r in rows if r["start"] == 0 and r["length"] == r["doc_tokens"]) > 0
     assert {r["doc_id"] for r in pipeline.run(spark, d).collect()} == set(after)
+
+
+def test_maximal_repeats_list_all_occurrences(spark):
+    from siltstone.llm.repeats import keyed, originals
+
+    shared = "".join(f"{i:03d}" for i in range(30))
+    docs_ = keyed(docs(spark, [f"aa{shared}bb", f"x{shared}yyy", f"{shared[:60]}q"]))
+    rows = suffix_array.maximal_repeats(docs_, originals(docs_)).collect()
+    assert {r["doc"] for r in rows} == {0, 1, 2} and {r["owner"] for r in rows} == {0}
+    for doc, start, end in ((0, 2, 92), (1, 1, 91), (2, 0, 60)):
+        covered = {i for r in rows if r["doc"] == doc for i in range(r["start"], r["start"] + r["length"])}
+        assert covered == set(range(start, end))
