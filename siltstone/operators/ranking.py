@@ -61,11 +61,23 @@ def monthly_sample(articles: DataFrame, target: int = vocab.TARGET, require_body
 def interleave(rows: DataFrame, group: list[str], order: list, groups_order: list | None = None) -> DataFrame:
     """Breadth first over groups: depth within the group, then the groups' order; adds depth and queue_pos.
 
-    queue_pos is a global order: its window has one partition, as a queue is read by one reader; depth has not.
+    No task sees the whole queue: places within a depth are counted by depth, and the rows of smaller depths come from
+    a histogram of depths.
     """
-    w = Window.partitionBy(*group).orderBy(*order)
-    deep = rows.withColumn("depth", F.row_number().over(w))
-    return deep.withColumn("queue_pos", F.row_number().over(Window.orderBy("depth", *(groups_order or group))))
+    deep = rows.withColumn("depth", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    sizes = deep.groupBy("depth").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("depth", F.coalesce(F.sum("__n").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("depth").orderBy(*(groups_order or group)))
+    return deep.join(before, "depth").withColumn("queue_pos", F.col("__before") + place).drop("__before")
+
+
+def running_before(rows: DataFrame, value: str, position: str, out: str, block: int = 1 << 16) -> DataFrame:
+    """rows with the sum of value over all smaller positions: within blocks of positions, and over the blocks' sums."""
+    blocked = rows.withColumn("__b", F.floor(F.col(position) / block))
+    inner = Window.partitionBy("__b").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy("__b").agg(F.sum(value).alias("__s"))
+    before = sums.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    return blocked.withColumn("__i", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(before, "__b").withColumn(out, F.col("__i") + F.col("__o")).drop("__b", "__i", "__o")
 
 
 def first_by(rows: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -98,8 +110,7 @@ def quota_scan(queue: DataFrame, quota: int, budget: int) -> DataFrame:
     month = Window.partitionBy("month").orderBy("queue_pos").rowsBetween(Window.unboundedPreceding, -1)
     prior = F.coalesce(F.sum(F.col("match").cast("int")).over(month), F.lit(0))
     open_ = queue.withColumn("wanted", (F.col("base") + prior < quota).cast("int"))
-    whole = Window.orderBy("queue_pos").rowsBetween(Window.unboundedPreceding, -1)
-    spent = open_.withColumn("spent", F.coalesce(F.sum("wanted").over(whole), F.lit(0)))
+    spent = running_before(open_, "wanted", "queue_pos", "spent")
     # The budget ends the scan at the first wanted row after it is spent.
     stop = spent.where((F.col("wanted") == 1) & (F.col("spent") >= budget)).agg(F.min("queue_pos").alias("stop"))
     out = spent.crossJoin(F.broadcast(stop))  # one row
