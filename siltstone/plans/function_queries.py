@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, html, screen, text, urls
+from ..operators import queues
 from .corpus_view import ARTICLES, articles, table, with_
 
 Q: dict = {}
@@ -111,6 +112,31 @@ def p11(spark, d):
     return _dated(spark, d).select("doc_id", urls.article_kind(F.col("u"), 2014, 2016).alias("kind"))
 
 
+_VALID = """q AS (SELECT t.doc_id, u, CASE WHEN doc_id % 4 = 0 THEN '1999-01-01' ELSE day END AS published_at FROM t),
+k AS (SELECT *, coalesce(published_at = (SELECT day FROM t WHERE t.doc_id = q.doc_id), FALSE) AS ok FROM q)"""
+
+
+@query("p13_valid_queue_rows", with_(_DATED, _VALID) + "SELECT doc_id, substr(published_at, 1, 7) AS year_month, TRUE AS valid FROM k WHERE ok UNION ALL SELECT doc_id, NULL, FALSE FROM k WHERE NOT ok")
+def p13(spark, d):
+    day = urls.identity(F.col("u"))["day"]
+    q = _dated(spark, d).select("doc_id", F.col("u").alias("original_url"), F.when(F.col("doc_id") % 4 == 0, "1999-01-01").otherwise(day).alias("published_at"), F.col("doc_id").alias("queue_pos"))
+    good, bad = queues.valid_rows(q)
+    return good.select("doc_id", "year_month", F.lit(True).alias("valid")).unionByName(bad.select("doc_id", F.lit(None).cast("string").alias("year_month"), F.lit(False).alias("valid")))
+
+
+@query("p14_eligible_queue_rows", with_(_DATED) + "SELECT doc_id FROM t WHERE day IS NOT NULL")
+def p14(spark, d):
+    q = _dated(spark, d).select("doc_id", F.col("u").alias("original_url"), urls.identity(F.col("u"))["day"].alias("published_at"))
+    return queues.eligible_rows(q, ("h.org",)).select("doc_id")
+
+
+@query("p12_listing_kind", "SELECT doc_id, ['cooperation','leader','index',NULL][doc_id % 4 + 1] AS kind, [0, 1, 7, NULL][doc_id % 4 + 1] AS priority FROM documents")
+def p12(spark, d):
+    u = F.element_at(F.array(*map(F.lit, ["http://h/Cooperation.php", "http://h/leader.html?x=1", "http://h/", "http://h/other.php"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    kind = queues.listing_kind(u)
+    return docs(spark, d).select("doc_id", kind["kind"].alias("kind"), kind["priority"].alias("priority"))
+
+
 @query("f33_replay_url", "SELECT doc_id, 'https://w.org/web/' || (20200101000000 + doc_id) || 'id_/http://x.org/' || doc_id AS url FROM documents")
 def f33(spark, d):
     u = F.concat(F.lit("https://w.org/web/"), (F.lit(20200101000000) + F.col("doc_id")).cast("string"), F.lit("/http://x.org/"), F.col("doc_id").cast("string"))

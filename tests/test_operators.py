@@ -143,3 +143,31 @@ def test_reparse_demotes(spark):
     parsed = spark.createDataFrame([("a", False, None), ("b", True, None), ("c", None, "x")], "k string, related boolean, error string")
     got = {r["k"]: r["status"] for r in archive_round.reparse(prev, parsed, "k").collect()}
     assert got == {"a": "not_china_after_body_reparse", "b": "china_match", "c": "parse_failure", "d": "http_error"}
+
+
+def test_queue_gates(spark):
+    import pytest
+
+    from siltstone.operators import queues
+
+    q = spark.createDataFrame([("http://h.org/s/2014/01/02/1.html", "2014-01-02", 0), ("http://www.h.org/s/2014/01/02/1.html", "2014-01-02", 1), ("http://h.org/s/2014/01/03/1.html", "2014-01-04", 2), ("http://h.org/x.html", None, 3)], "original_url string, published_at string, queue_pos int")
+    good, bad = queues.valid_rows(q)
+    assert [r["queue_pos"] for r in good.collect()] == [0] and {r["queue_pos"] for r in bad.collect()} == {1, 2, 3}
+    assert queues.eligible_rows(q, ("h.org",)).count() == 3
+    with pytest.raises(Exception, match="host not allowed"):
+        queues.eligible_rows(q, ("other.org",)).collect()
+    with pytest.raises(ValueError, match="lacks archive_url"):
+        queues.checked_queue(q, ("archive_url",), "web.archive.org")
+    with pytest.raises(Exception, match="not an archive address"):
+        queues.checked_queue(q.withColumn("archive_url", F.col("original_url")), ("archive_url",), "web.archive.org").collect()
+    assert queues.inside("/data", "a/../b/c") == "/data/b/c"
+    for bad_path in ("../x", "/etc/passwd", "a/../../x"):
+        with pytest.raises(ValueError):
+            queues.inside("/data", bad_path)
+
+
+def test_running_sum_crosses_blocks(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(5)) for i in range(500)]
+    got = {r["p"]: r["s"] for r in ranking.running_before(spark.createDataFrame(rows, "p long, v long").repartition(7), "v", "p", "s", block=64).collect()}
+    assert got == {i: sum(v for j, v in rows if j < i) for i, _ in rows}
