@@ -30,7 +30,7 @@ from .common import discard, materialise
 SAMPLE_PER_CLASS = 10_000
 MAX_TERMS, MAX_PHRASES = 2_000, 500
 #: Rows a term must be in, and how many times likelier it must be in toxic rows.
-LEAST_ROWS, LEAST_RATIO = 5, 8.0
+LEAST_ROWS, LEAST_RATIO = 4, 8.0
 PREFIXES = (4, 5, 6)
 #: The curve's base is this at most: a text without any term is never predicted toxic.
 NO_TERM_BASE = -0.1
@@ -94,8 +94,9 @@ def _hits(model: Model, folded: str) -> list[tuple[int, int, float]]:
 
 
 def statistic(model: Model, text: str) -> float:
-    hits = _hits(model, fold(text))
-    return sum(w for *_, w in hits) / (len(text) / 100 + 1) ** model.power if hits else 0.0
+    folded = fold(text)
+    said = Counter((folded[s:e], w) for s, e, w in _hits(model, folded))
+    return sum(w * (1 + math.log(n)) for (_, w), n in sorted(said.items())) / (len(text) / 100 + 1) ** model.power if said else 0.0
 
 
 def _score(model: Model, text: str) -> float:
@@ -108,13 +109,29 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
+def _signature(text: str) -> int:
+    """The least hash of a text's three-word shingles: near copies mostly share it, other texts hardly ever."""
+    import xxhash
+
+    words = text.lower().split()
+    shingles = zip(words, words[1:], words[2:], strict=False) if len(words) > 2 else [words]
+    return min(xxhash.xxh64_intdigest(" ".join(s)) for s in shingles) - (1 << 63)
+
+
+def _signed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_signature(t) for t in batch.column(0).to_pylist()], pa.int64())], ["text", "toxic", "sig"])
+
+
 def training_sample(df: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(text, toxic) of at most per_class labelled rows of each class; several labels of one id: the highest counts."""
+    """(text, toxic) of at most per_class labelled rows of each class, one of near copies: many copies of a text would
+    make all its words look telling. Several labels of one id: the highest counts."""
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(per_class).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(per_class))
     # 2 * per_class ids of 12 bytes at most: always small enough to send to every executor
-    return df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    return rows.mapInArrow(_signed, "text string, toxic int, sig long").groupBy("sig", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _counted(sample: DataFrame, features) -> DataFrame:
