@@ -13,7 +13,10 @@ def has_body() -> Column:
 
 
 def scored(articles: DataFrame) -> DataFrame:
-    """articles with score, syndicated, family and year_month."""
+    """articles with score, syndicated, with_body, eligible, family and year_month.
+
+    What the samplers ask of texts is settled here as flags, so no text goes through their shuffles.
+    """
     grade = F.create_map(*[F.lit(x) for kv in vocab.GRADE_SCORES.items() for x in kv])
     scope = F.coalesce(F.get_json_object("metadata", "$.scope"), F.lit(""))
     bilateral = F.contains(scope, F.lit(vocab.BILATERAL_SCOPE)) | F.arrays_overlap("topic_labels", F.array(*map(F.lit, vocab.BILATERAL_LABELS)))
@@ -26,7 +29,8 @@ def scored(articles: DataFrame) -> DataFrame:
         - F.when(synd, 8).otherwise(0)
         + F.least(F.length(F.coalesce("title_original", F.lit(""))), F.lit(80)) / F.lit(1000.0)
     )
-    return articles.withColumns({"score": score, "syndicated": synd, "family": screen.family(F.col("source_code")), "year_month": dates.year_month(F.col("published_at"))})
+    ok = screen.formal(F.col("evidence_grade"), F.col("metadata"))
+    return articles.withColumns({"score": score, "syndicated": synd, "with_body": has_body(), "eligible": ok, "family": screen.family(F.col("source_code")), "year_month": dates.year_month(F.col("published_at"))})
 
 
 def best_versions(articles: DataFrame, first: str = vocab.SNAPSHOT_START, last: str = vocab.SNAPSHOT_END) -> DataFrame:
@@ -47,8 +51,11 @@ def monthly_sample(articles: DataFrame, target: int = vocab.TARGET, require_body
     Eligibility is looked at after the best version is chosen, so a story whose best version isn't eligible is out.
     """
     cap = -(-target // 2)
-    rows = best_versions(articles).where(screen.formal(F.col("evidence_grade"), F.col("metadata")))
-    rows = rows.where(has_body()) if require_body else rows
+    rows = best_versions(articles).where("eligible")
+    rows = rows.where("with_body") if require_body else rows
+    # Whatever is chosen is among the first `target` of its kind, so a crowded month goes on with twice that many rows.
+    kind = Window.partitionBy("family", "year_month", "syndicated").orderBy(F.desc("score"), "record_id")
+    rows = rows.withColumn("k", F.row_number().over(kind)).where(F.col("k") <= target)
     group = Window.partitionBy("family", "year_month")
     ranked = rows.withColumn("r", F.row_number().over(group.orderBy(F.desc("score"), "record_id")))
     counted = ranked.withColumn("sr", F.sum(F.col("syndicated").cast("int")).over(group.orderBy("r")))

@@ -251,7 +251,7 @@ def manifest(spark, d):
 
 @query("w15_hydration_balance", with_(ARTICLES, SCORED, BEST) + "SELECT record_id, ym AS year_month FROM best WHERE family = 'KPL' AND NOT has_body QUALIFY row_number() OVER (PARTITION BY ym ORDER BY score DESC, record_id) <= 2")
 def hydration_balance(spark, d):
-    rows = ranking.best_versions(articles(spark, d)).where((F.col("family") == "KPL") & ~ranking.has_body())
+    rows = ranking.best_versions(articles(spark, d)).where((F.col("family") == "KPL") & ~F.col("with_body"))
     return ranking.top_by(rows, ["year_month"], [F.desc("score"), "record_id"], 2).select("record_id", "year_month")
 
 
