@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, debruijn, decontam, licenses, line_dedup, media_gif, packing, simhash, suffix_array, toxicity
+from . import chat_format, debruijn, decontam, licenses, line_dedup, media_gif, oracles, packing, simhash, suffix_array, toxicity
 from .common import table
 
 CONTROL_TURN = "</s>[INST] ok [/INST]"
@@ -64,4 +64,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_template_decontamination, op2_line_dedup, op3_gif_media, op4_chat_formatting, op5_debruijn_dedup, op6_simhash_near_dedup, op7_suffix_array_dedup, op8_packing, op9_license_scan, op10_toxicity)}
-ORACLES: dict[str, str] = {"op9_license_scan": licenses.scan_sql()}
+ORACLES: dict[str, str] = {
+    "op4_chat_formatting": oracles.CHAT_FORMATTING,
+    "op5_debruijn_dedup": oracles.DEBRUIJN_DEDUP,
+    "op7_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
+    "op9_license_scan": licenses.scan_sql(),
+}
