@@ -17,13 +17,21 @@ from .sources.fetch import Fetcher
 from .streaming import incremental
 
 STAGED = "title_original string, body_original string, published_at string, original_url string, archive_url string, content_sha256 string, raw_sha256 string, payload_sha256 string, capture_timestamp string, source_code string, language string, evidence_grade string, retrieval_tier string, matched_queries array<string>, date_precision string, body_method string"
+PAGES = "record_id string, story_id string, source_article_id string, title_original string, published_at string, body_original string, content_sha256 string, raw_file string, raw_sha256 string, native_json_file string, native_json_sha256 string, page_num int, original_url string"
 LEADS = "p_id bigint, title_original string, published_at string, original_url string, listing_url string, source_code string, language string"
 
 
 def _import(kind: str):
     def run(ws, a):
         rows = readers.ndjson(ws.spark, a.file, LEADS if kind == "listings" else schemas.ARTICLES + ", raw_sha256 string" if kind == "upgrades" else STAGED)
-        if kind == "listings":
+        if kind == "epaper":
+            rows = readers.ndjson(ws.spark, a.file, PAGES)
+            name = lambda c: F.element_at(F.split(c, "/"), -1)
+            files = readers.raw_objects(ws.spark, a.folder).select(name("path").alias("name"), "content")
+            pdf, pages = (files.select(F.col("name").alias(k), F.col("content").alias(v)) for k, v in (("pdf_name", "pdf_content"), ("json_name", "json_content")))
+            rows = rows.withColumns({"pdf_name": name("raw_file"), "json_name": name("native_json_file")}).join(pdf, "pdf_name", "left").join(pages, "json_name", "left").withColumn("native_json", F.col("json_content").cast("string"))
+            plan = staging.import_pages(rows, ws.articles())
+        elif kind == "listings":
             plan = staging.import_listings(rows, ws.articles())
         elif kind == "upgrades":
             plan = staging.import_upgrades(rows, ws.articles())
@@ -95,6 +103,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--root", required=True)
     p.add_argument("command", choices=sorted(COMMANDS))
     p.add_argument("--file")
+    p.add_argument("--folder", help="saved PDFs and page texts")
     p.add_argument("--url", nargs="*", default=[])
     p.add_argument("--query", nargs="*", default=[])
     p.add_argument("--language", default="lo")

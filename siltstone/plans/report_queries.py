@@ -213,7 +213,7 @@ def attempts(spark, d):
     return _partitions(spark, d)
 
 
-@query("g13_failed_partitions", "SELECT event_type, count(*) FILTER (st = 'failed') AS failed, sum(n) AS attempts FROM (SELECT user_id, event_type, count(*) AS n, arg_max(CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'ok' END, (ts, event_id)) AS st FROM events GROUP BY ALL) GROUP BY event_type")
+@query("g13_failed_partitions", "SELECT event_type, count(*) FILTER (st = 'failed') AS failed, CAST(sum(n) AS BIGINT) AS attempts FROM (SELECT user_id, event_type, count(*) AS n, arg_max(CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'ok' END, (ts, event_id)) AS st FROM events GROUP BY ALL) GROUP BY event_type")
 def failed_partitions(spark, d):
     return _partitions(spark, d).groupBy("event_type").agg(F.count_if(F.col("status") == "failed").alias("failed"), F.sum("attempts").alias("attempts"))
 

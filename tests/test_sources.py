@@ -284,3 +284,19 @@ def test_exports(spark, tmp_path):
     sinks.replace_sample(s, str(tmp_path / "s"))
     sinks.replace_sample(s.where("n = 1").withColumn("n", F.lit(5)), str(tmp_path / "s"))
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "s")).select("sample_id", "n").collect()} == {("main", 5), ("other", 2)}
+
+
+def test_pages_are_imported_by_their_hash_chain(spark):
+    import hashlib
+
+    from siltstone import schemas
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    pdf, body = b"%PDF-1.4 x", "ຂ່າວ ຈີນ"
+    native = json.dumps({"pdf_sha256": sha(pdf), "pages": [{"page_num": 1}, {"page_num": 3}]})
+    good = ("R1", "ຫົວຂໍ້", body, sha(body.encode()), bytearray(pdf), sha(pdf), native, sha(native.encode()), 3)
+    rows = [good, ("R2", *good[1:8], 2), ("R3", *good[1:4], bytearray(b"nope"), *good[5:]), ("R4", *good[1:3], "0" * 64, *good[4:])]
+    df = spark.createDataFrame(rows, "record_id string, title_original string, body_original string, content_sha256 string, pdf_content binary, raw_sha256 string, native_json string, native_json_sha256 string, page_num int")
+    plan = staging.import_pages(df, spark.createDataFrame([], schemas.ARTICLES))
+    assert [r["record_id"] for r in plan["articles"].collect()] == ["R1"]
+    assert {r["record_id"]: r["problems"] for r in plan["rejected"].collect()} == {"R2": ["no such page"], "R3": ["no PDF", "PDF hash differs"], "R4": ["body hash differs"]}
