@@ -11,12 +11,17 @@ from .tables import upsert
 _HEX = "^[0-9a-f]{64}$"
 
 
+def _flag(bad: Column, name: str) -> Column:
+    """The problem's name where bad is true or, for lack of a value, unknown."""
+    return F.when(F.coalesce(bad, F.lit(True)), name)
+
+
 def problems(rows: DataFrame, body_hash: bool = True, raw_hash: bool = True, payload_hash: bool = False) -> Column:
     """Array of what is wrong with a staged record: missing fields, bad hashes, no day."""
     checks = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", f"{c} missing") for c in ("title_original", "body_original", "published_at", "original_url") if c in rows.columns]
-    checks.append(F.when(~F.col("published_at").rlike("^\\d{4}-\\d{2}-\\d{2}"), "published_at is no day"))
+    checks.append(_flag(~F.col("published_at").rlike("^\\d{4}-\\d{2}-\\d{2}"), "published_at is no day"))
     if body_hash:
-        checks.append(F.when(F.sha2("body_original", 256) != F.col("content_sha256"), "body hash differs"))
+        checks.append(_flag(F.sha2("body_original", 256) != F.col("content_sha256"), "body hash differs"))
     for on, column, content in ((raw_hash, "raw_sha256", "raw_content"), (payload_hash, "payload_sha256", "payload_content")):
         if on:
             same = F.sha2(content, 256) == F.col(column) if content in rows.columns else F.col(column).rlike(_HEX)
@@ -76,12 +81,12 @@ def import_pages(rows: DataFrame, articles: DataFrame) -> dict[str, DataFrame]:
     """E-paper articles: a PDF by its first bytes, four hashes, and a page number among the pages that were read."""
     checks = F.array_compact(
         F.array(
-            F.when(F.substring(F.col("pdf_content"), 1, 5).cast("string") != "%PDF-", "no PDF"),
-            F.when(F.sha2("pdf_content", 256) != F.col("raw_sha256"), "PDF hash differs"),
-            F.when(F.sha2("native_json", 256) != F.col("native_json_sha256"), "page text hash differs"),
-            F.when(F.get_json_object("native_json", "$.pdf_sha256") != F.col("raw_sha256"), "page text is of another PDF"),
-            F.when(F.sha2("body_original", 256) != F.col("content_sha256"), "body hash differs"),
-            F.when(~F.array_contains(F.from_json(F.get_json_object("native_json", "$.pages[*].page_num"), "array<int>"), F.col("page_num")) & (F.coalesce(F.get_json_object("native_json", "$.pages[*].page_num"), F.lit("")) != F.col("page_num").cast("string")), "no such page"),
+            _flag(F.substring(F.col("pdf_content"), 1, 5).cast("string") != "%PDF-", "no PDF"),
+            _flag(F.sha2("pdf_content", 256) != F.col("raw_sha256"), "PDF hash differs"),
+            _flag(F.sha2("native_json", 256) != F.col("native_json_sha256"), "page text hash differs"),
+            _flag(F.get_json_object("native_json", "$.pdf_sha256") != F.col("raw_sha256"), "page text is of another PDF"),
+            _flag(F.sha2("body_original", 256) != F.col("content_sha256"), "body hash differs"),
+            _flag(~F.coalesce(F.array_contains(F.from_json(F.get_json_object("native_json", "$.pages[*].page_num"), "array<int>"), F.col("page_num")), F.lit(False)) & (F.coalesce(F.get_json_object("native_json", "$.pages[*].page_num"), F.lit("")) != F.col("page_num").cast("string")), "no such page"),
         )
     )
     marked = rows.withColumn("problems", checks)
