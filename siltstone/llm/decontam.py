@@ -26,7 +26,7 @@ from .common import doc_key, materialise
 from .repeats import _longs
 from .textkernel import BYTE_VALUES, mix, prefix_hash, range_hash, text_chunks
 
-WINDOW, LITERALS, LEAST, COVER = 8, 5, 5, 0.5
+WINDOW, LITERALS, LEAST, COVER = 8, 5, 5, 0.4
 #: Benchmark windows (8 bytes each) that are sent to every executor, at most.
 INDEX_ROWS = 2_000_000
 CHUNK = 1 << 18
