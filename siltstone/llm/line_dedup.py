@@ -1,12 +1,13 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence per connected group.
+"""Fuzzy line dedup: SimHash stars and a prefix filter on normalised lines, edit similarity, one occurrence per connected group.
 
 A line is normalised to lower-case words with digits as 0 and marks as space. Lines of fewer than MIN_WORDS words are
 never touched. Lines with equal words are one node. A node's 64-bit SimHash over words and word pairs is cut into
 BLOCKS blocks; RADIUS changed bits leave BLOCKS - RADIUS of them whole, so nodes within RADIUS bits agree on one
-pair of blocks at least and meet by it. Nodes that meet are first paired with the least of them alone; then pairs are
-made only between nodes that no verified pair has joined yet, so a crowd of alike lines doesn't pair off with itself.
-Pairs within RADIUS bits are verified by word edit similarity (insertions and
-deletions over both lengths) of SIMILARITY or more. Groups are connected components. Of each group the occurrence of
+pair of blocks at least; those that meet are first paired with the least of them alone, which joins crowds of near
+lines by few checks. Then all nodes that no verified pair has joined yet are compared by a prefix filter that misses
+none: lines of SIMILARITY share one of their rarest words, and lengths, places of that word and parities of words bound
+their distance. Pairs are verified by word edit similarity (insertions and deletions over both lengths) of SIMILARITY
+or more. Groups are connected components. Of each group the occurrence of
 the smallest document and line stays; the other lines go, and what is left is joined by line feeds as before.
 
 Null texts stay null and empty ones empty: they have no lines to lose. Texts of one id count as separate rows of one
@@ -32,6 +33,8 @@ from .textkernel import mix, prefix_hash, range_hash, text_chunks, word_hashes,
 MIN_WORDS, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 3, 5
 CHUNK = 1 << 18
+#: Counters of word frequencies, the share of documents (one of so many) that they count, and pairs compared at once.
+BUCKETS, ORDER_SHARE, PAIRS = 1 << 20, 4, 1 << 20
 
 #: What a byte becomes: ASCII letters lower-case, digits 0, other ASCII a space; bytes of other characters stay.
 _PLAIN = np.array([c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 48 if chr(c).isdigit() else 32 for c in range(256)], np.uint8)
@@ -116,11 +119,144 @@ def star_pairs(crowd: DataFrame) -> DataFrame:
     return crowd.select(F.col("first.node").alias("a"), F.col("first.sim").alias("sa"), F.col("node").alias("b"), F.col("sim").alias("sb")).where((F.col("a") != F.col("b")) & _near("sa", "sb")).select("a", "b").distinct()
 
 
-def cross_pairs(crowd: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): near nodes of one crowd that no group joins yet. What the stars have joined makes no pairs."""
-    named = crowd.join(groups, crowd["node"] == groups["id"], "left").select("k", "node", "sim", F.coalesce("root", "node").alias("group"))
-    left, right = (named.select("k", F.col("node").alias(n), F.col("sim").alias(f"s{n}"), F.col("group").alias(f"g{n}")) for n in "ab")
-    return left.join(right, (left.k == right.k) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _near("sa", "sb")).select("a", "b").distinct()
+def least_overlap(n, m):
+    """Words that lines of n and m words have in common, in order, where their edit similarity reaches 0.8."""
+    return (n + m - (n + m) // 5 + 1) // 2
+
+
+def word_order(docs: DataFrame) -> np.ndarray:
+    """How often words of each bucket occur in a share of the documents: rare words come first. Any order gives the same pairs."""
+
+    def run(batches):
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0), CHUNK):
+                plain = _PLAIN[data]
+                starts, ends, _ = words(plain, offsets)
+                counts += np.bincount((word_hashes(plain, starts, ends) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["bucket", "n"])
+
+    found = docs.where(F.pmod("rk", F.lit(ORDER_SHARE)) == 0).select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int32)
+    out[found.column(0).to_numpy()] = np.minimum(found.column(1).to_numpy(), (1 << 31) - 1)
+    return out
+
+
+def _prefixes(lines: list[bytes], order: np.ndarray):
+    """(line, word hash, place, words, short prefix too, parities) of each line's rarest words.
+
+    Lines of n <= m words that are alike share a word within the n - least_overlap(n, n) + 1 rarest of the one and the
+    rarest of the other that are left out of its least overlap with any line; all places of such a word are listed.
+    Parities of words in 256 buckets differ in at most as many bits as words are inserted and deleted.
+    """
+    data = _PLAIN[np.frombuffer(b"".join(lines), np.uint8)]
+    offsets = np.r_[0, np.cumsum([len(x) for x in lines])]
+    starts, ends, first = words(data, offsets)
+    h = word_hashes(data, starts, ends)
+    n = np.diff(first)
+    of = np.repeat(np.arange(len(n)), n)
+    bits = np.bincount(of * 256 + (h >> np.uint64(56)).astype(np.int64), minlength=256 * len(n)).reshape(-1, 256) & 1
+    parity = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    sorted_ = np.lexsort((h, order[(h % np.uint64(BUCKETS)).astype(np.int64)], of))
+    h, place, at = h[sorted_], sorted_ - first[of], np.arange(len(h)) - first[of]
+    long = n - least_overlap(n, np.maximum(-(-2 * n // 3), MIN_WORDS)) + 1
+    short = n - least_overlap(n, n) + 1
+    within = lambda size: (at < size[of]) | (h == h[(first[:-1] + size - 1)[of]])
+    some = np.flatnonzero(within(long))
+    return of[some], h[some], place[some], n[of[some]], within(short)[some], parity[of[some]]
+
+
+_KEYS = ["k", "n", "node", "grp", "spot", "s0", "s1", "s2", "s3"]
+
+
+def prefix_words(docs: DataFrame, wanted: DataFrame, order: np.ndarray) -> DataFrame:
+    """A row for each rare word of the lines in wanted: (rk, line, node, grp). spot: place * 2, and 1 if in the short prefix."""
+
+    def run(batches):
+        for batch in batches:
+            lines, nodes, groups = [], [], []
+            for text, some in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
+                cut = text.as_py().split(b"\n")
+                for w in some:
+                    lines.append(cut[w["line"]])
+                    nodes.append(w["node"])
+                    groups.append(w["grp"])
+            for a, b in _spans([len(x) for x in lines], CHUNK):
+                of, h, place, n, short, parity = _prefixes([x + b"\n" for x in lines[a:b]], order)
+                ids, grp = np.array(nodes[a:b], np.int64)[of], np.array(groups[a:b], np.int64)[of]
+                yield pa.RecordBatch.from_arrays([_longs(h), _longs(n), _longs(ids), _longs(grp), _longs(place * 2 + short), *(_longs(np.ascontiguousarray(parity[:, i])) for i in range(4))], _KEYS)
+
+    lists = wanted.groupBy("rk").agg(F.collect_list(F.struct("line", "node", "grp")).alias("some"))
+    return docs.join(lists.hint("shuffle_hash"), "rk").select("text", "some").mapInArrow(run, ", ".join(f"{c} long" for c in _KEYS))
+
+
+def _spans(sizes: list[int], limit: int):
+    """Ranges of neighbours of about limit in all."""
+    a = total = 0
+    for i, x in enumerate(sizes):
+        if total and total + x > limit:
+            yield a, i
+            a, total = i, 0
+        total += x
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
+def _meet(rows: np.ndarray):
+    """(a, b) nodes of different groups that may be alike; rows: _KEYS in columns, sorted by k, n and node."""
+    k, n, node, grp, spot = rows[:5]
+    parity, place = rows[5:].view(np.uint64), spot >> 1
+    run = np.r_[0, np.cumsum(k[1:] != k[:-1])] << 32
+    head = np.flatnonzero(spot & 1)
+    end = np.searchsorted(run + n, run[head] + 3 * n[head] // 2, "right")
+    counts = end - head - 1
+    head, counts = head[counts > 0], counts[counts > 0]
+    upto = np.cumsum(counts)
+    at = 0
+    while at < len(head):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        c = counts[at:to]
+        i = np.repeat(head[at:to], c)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + i + 1
+        at = to
+        d = place[i] - place[j]
+        gap = n[i] - n[j]
+        most = (n[i] + n[j]) // 5
+        good = (np.abs(d) + np.abs(gap - d) <= most) & (grp[i] != grp[j])
+        i, j, most = i[good], j[good], most[good]
+        far = np.zeros(len(i), np.int64)
+        for s in parity:
+            far += np.bitwise_count(s[i] ^ s[j])
+            good = far <= most
+            i, j, most, far = i[good], j[good], most[good], far[good]
+        if len(i):
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            yield np.unique(np.stack([a, b]), axis=1)
+
+
+def cross_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b): all nodes of different groups whose similarity their lengths, rare words, places and parities allow."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def pairs(rows):
+            for a, b in _meet(rows):
+                yield pa.RecordBatch.from_arrays([_longs(a), _longs(b)], ["a", "b"])
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            size += batch.num_rows
+            if size >= CHUNK and held[-1][0, -1] != held[0][0, 0]:
+                rows = np.concatenate(held, axis=1)
+                cut = int(np.flatnonzero(rows[0] != rows[0, -1])[-1]) + 1  # the last word may go on
+                yield from pairs(rows[:, :cut])
+                held, size = [rows[:, cut:]], rows.shape[1] - cut
+        if size:
+            yield from pairs(np.concatenate(held, axis=1))
+
+    return keys.repartition(F.col("k")).sortWithinPartitions("k", "n", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def edit_similar(x: list, y: list, least: float) -> bool:
@@ -194,7 +330,9 @@ def lines_to_drop(docs: DataFrame) -> DataFrame:
 
     # A crowd of n near lines is joined through its least line, by n checks; pairs are made only between groups.
     links = check(materialise(star_pairs(crowd), "line-stars"))
-    cross = materialise(cross_pairs(crowd, components(links, "line-stars-groups")), "line-cross")
+    stars = components(links, "line-stars-groups")
+    wanted = nodes.join(stars, nodes["node"] == stars["id"], "left").select("first.rk", "first.line", "node", F.coalesce("root", "node").alias("grp"))
+    cross = materialise(cross_pairs(prefix_words(docs, wanted, word_order(docs))), "line-cross")
     if not cross.isEmpty():
         links = links.unionByName(check(cross))
     groups = components(links, "line-groups")

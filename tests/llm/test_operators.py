@@ -202,6 +202,30 @@ def test_line_groups_join_fuzzy_crowds(spark):
     assert kept[0] == 0 and len(kept) < 50  # near in SimHash, verified, joined
 
 
+def test_line_groups_against_brute_force(spark):
+    """Whatever edit similarity links is found, at 5 to 120 words, with repeated words and with edits of all kinds."""
+    rng = random.Random(11)
+    lines = []
+    for size in [5, 6, 7, 9, 10, 15, 20, 30, 50, 80, 120] * 4:
+        base = [f"w{rng.choice('abcdefghij')}{rng.choice('abcdefghij')}{rng.choice('klm' * 4 + 'nopq')}" for _ in range(size)]
+        lines.append(base)
+        for edits in (1, size // 10, size // 5, size // 4):
+            w = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(2)] = rng.choice([[], [rng.choice(base)], [f"x{rng.choice('abc')}"]])
+            lines.append(w)
+    rng.shuffle(lines)
+    raw = [[x.encode() for x in w] for w in lines]
+    root = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if min(len(raw[i]), len(raw[j])) >= 5 and root[i] != root[j] and line_dedup.edit_similar(raw[i], raw[j], 0.8):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    rows = line_dedup.dedup(docs(spark, [" ".join(w) for w in lines])).collect()
+    assert {r["doc_id"] for r in rows if not r["n_removed"]} == {i for i, r in enumerate(root) if i == r}
+
+
 def test_edit_similarity_is_exact():
     rng = random.Random(2)
 
