@@ -2,8 +2,7 @@
 
 A text is cut into sentences twice, at line ends too and across wrapped lines, and normalised to lower-case words.
 Known licence sentences become identifiers, and ordered rules (longest first) look for their identifier sequences
-among a text's identifiers in order; a rule uses up what it matches. Only texts with a cue word are cut: every known
-sentence holds one. The whole is one projection: no shuffle, no join.
+among a text's identifiers in order; a rule uses up what it matches. Only texts with a cue word are cut: every known sentence holds one. The whole is one projection: no shuffle, no join.
 
 Null and empty texts have no identifiers and no licences. Repeated rows repeat their results; other columns are dropped.
 """
@@ -63,13 +62,17 @@ RULES = [
     ("MPL-2.0", ("mpl-1",)),
     ("All-rights-reserved", ("reserved",)),
 ]
+# Pieces that the cuts make of "reserved", with their rules. The SQL twin doesn't have them.
+PIECES = {"reserved-1": "all rights reserved", "reserved-2": "no part of this work may be copied without permission"}
+PIECE_RULES = [("All-rights-reserved", ("reserved-1", "reserved-2")), ("All-rights-reserved", ("reserved-1",)), ("All-rights-reserved", ("reserved-2",))]
+PIECE_CUES = ("all rights",)
 #: Every known sentence holds one of these.
 CUES = ("licens", "copyright", "warrant", "permission")
 AT_LINES, ACROSS_LINES = r"[.!?:;]+\s+|\n+", r"[.!?:;]+\s+|\n\s*\n"
 
 
 def _identifiers(text: Column, cut: str) -> Column:
-    known = F.create_map(*[F.lit(x) for sentence, name in ((s, n) for n, s in SENTENCES.items()) for x in (sentence, name)])
+    known = F.create_map(*[F.lit(x) for sentence, name in ((s, n) for n, s in (SENTENCES | PIECES).items()) for x in (sentence, name)])
     plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
     named = F.transform(F.split(F.lower(text), cut), lambda s: F.element_at(known, plain(s)))
     return F.filter(named, lambda x: x.isNotNull())
@@ -85,11 +88,11 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(t)
     cue = F.lit(False)
-    for c in CUES:
+    for c in CUES + PIECE_CUES:
         cue = cue | F.contains(low, F.lit(c))
     none = F.array().cast("array<string>")
     df = df.select(key, F.when(cue, _identifiers(t, AT_LINES)).otherwise(none).alias("a"), F.when(cue, _identifiers(t, ACROSS_LINES)).otherwise(none).alias("b"))
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f",{x}," for x in ids)).alias("pattern")) for name, ids in RULES])
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f",{x}," for x in ids)).alias("pattern")) for name, ids in RULES + PIECE_RULES])
     start = F.struct(F.concat_ws("|", _sequence(F.col("a")), _sequence(F.col("b"))).alias("left"), none.alias("found"))
     step = lambda s, r: F.struct(F.replace(s["left"], r["pattern"], F.lit("|")).alias("left"), F.when(F.contains(s["left"], r["pattern"]), F.array_append(s["found"], r["name"])).otherwise(s["found"]).alias("found"))
     found = F.when(F.size("a") + F.size("b") > 0, F.aggregate(rules, start, step, lambda s: s["found"])).otherwise(none)
@@ -98,7 +101,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def scan_sql(source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL, but without PIECES."""
     known = ", ".join(f"('{s}', '{n}')" for n, s in SENTENCES.items())
     cut = lambda pattern: f"list_filter(list_transform(regexp_split_to_array(low, '{pattern}'), lambda s: known[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL)"
     seq = lambda c: f"array_to_string(list_transform({c}, lambda x: ',' || x || ','), '')"

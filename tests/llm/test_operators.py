@@ -404,6 +404,11 @@ def test_licences_by_rules(spark):
     assert all(any(c in x for c in licenses.CUES) for x in s.values())
 
 
+def test_all_rights_reserved_as_texts_say_it(spark):
+    texts = ["All rights reserved.", "All rights reserved. No part of this work may be copied without permission."]
+    assert [r["licences"] for r in licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()] == ["All-rights-reserved"] * 2
+
+
 def test_toxicity_learns_terms_and_exceptions(spark):
     rng = random.Random(9)
     filler = [f"f{rng.randrange(200)}x" for _ in range(5000)]
