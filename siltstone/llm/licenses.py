@@ -2,7 +2,8 @@
 
 A text is cut into sentences twice, at line ends too and across wrapped lines, and normalised to lower-case words.
 Known licence sentences become identifiers, and ordered rules (longest first) look for their identifier sequences
-among a text's identifiers in order; a rule uses up what it matches. Only texts with a cue word are cut: every known sentence holds one. The whole is one projection: no shuffle, no join.
+among a text's identifiers in order; a rule uses up what it matches. Stops inside known sentences don't cut.
+Only texts with a cue word are cut: every known sentence holds one. The whole is one projection: no shuffle, no join.
 
 Null and empty texts have no identifiers and no licences. Repeated rows repeat their results; other columns are dropped.
 """
@@ -66,6 +67,8 @@ RULES = [
 PIECES = {"reserved-1": "all rights reserved", "reserved-2": "no part of this work may be copied without permission"}
 PIECE_RULES = [("All-rights-reserved", ("reserved-1", "reserved-2")), ("All-rights-reserved", ("reserved-1",)), ("All-rights-reserved", ("reserved-2",))]
 PIECE_CUES = ("all rights",)
+#: Stops inside known sentences, which are no cuts. The SQL twin cuts there.
+INNER = r"(free\s+software)[:;](?=\s+you\s+can\s)|(software\s+foundation)[:;](?=\s+either\s+version\s)|(any\s+warranty)[:;](?=\s+without\s+even\s)|(public\s+license,?\s+v)\.(?=\s+2)"
 #: Every known sentence holds one of these.
 CUES = ("licens", "copyright", "warrant", "permission")
 AT_LINES, ACROSS_LINES = r"[.!?:;]+\s+|\n+", r"[.!?:;]+\s+|\n\s*\n"
@@ -74,7 +77,7 @@ AT_LINES, ACROSS_LINES = r"[.!?:;]+\s+|\n+", r"[.!?:;]+\s+|\n\s*\n"
 def _identifiers(text: Column, cut: str) -> Column:
     known = F.create_map(*[F.lit(x) for sentence, name in ((s, n) for n, s in (SENTENCES | PIECES).items()) for x in (sentence, name)])
     plain = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    named = F.transform(F.split(F.lower(text), cut), lambda s: F.element_at(known, plain(s)))
+    named = F.transform(F.split(F.regexp_replace(F.lower(text), INNER, "$1$2$3$4"), cut), lambda s: F.element_at(known, plain(s)))
     return F.filter(named, lambda x: x.isNotNull())
 
 
@@ -101,7 +104,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def scan_sql(source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
-    """The same in DuckDB SQL, but without PIECES."""
+    """The same in DuckDB SQL, but without PIECES and with cuts at INNER stops."""
     known = ", ".join(f"('{s}', '{n}')" for n, s in SENTENCES.items())
     cut = lambda pattern: f"list_filter(list_transform(regexp_split_to_array(low, '{pattern}'), lambda s: known[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL)"
     seq = lambda c: f"array_to_string(list_transform({c}, lambda x: ',' || x || ','), '')"

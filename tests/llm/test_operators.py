@@ -409,6 +409,24 @@ def test_all_rights_reserved_as_texts_say_it(spark):
     assert [r["licences"] for r in licenses.scan(docs(spark, texts)).orderBy("doc_id").collect()] == ["All-rights-reserved"] * 2
 
 
+def test_licences_in_their_ordinary_wording(spark):
+    gpl = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s either version %d of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    bsd = "1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright\n   notice, this list of conditions and the following disclaimer in the\n   documentation and/or other materials provided with the distribution."
+    texts = [gpl % (":", ",", 3), gpl % (";", ";", 2), mpl, "All rights reserved.", "All rights reserved. No part of this work may be copied without permission.", bsd, 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.', "No rights here. 2.0. And more of the license."]
+    got = {r["doc_id"]: (r["licences"], r["sentence_ids"]) for r in licenses.scan(docs(spark, texts)).collect()}
+    assert {i: x[0] for i, x in got.items()} == {0: "GPL-3.0-or-later", 1: "GPL-2.0-or-later", 2: "MPL-2.0", 3: "All-rights-reserved", 4: "All-rights-reserved", 5: "BSD-2-Clause", 6: "Apache-2.0", 7: ""}
+    assert got[0][1] == "gpl-1;gpl-2;gpl-3" and got[1][1] == "gpl-2;gpl-3;gpl2-1"
+
+
 def test_toxicity_learns_terms_and_exceptions(spark):
     rng = random.Random(9)
     filler = [f"f{rng.randrange(200)}x" for _ in range(5000)]
