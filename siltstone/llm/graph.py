@@ -19,6 +19,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Ids are longs; loops and repeated edges don't matter. An id with many edges is no burden: minima are combined
     before the shuffle and joins on a crowded id are split at run time. Rounds grow with the logarithm of the longest
     chain. No component is ever gathered in one place.
+    The result can be given to discard(). Without edges it is empty.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     mark = _signature(now)
@@ -35,4 +36,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         mark = seen
         if stable:
             break
-    return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    out = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    out._stage_path = now._stage_path
+    return out

@@ -1,28 +1,30 @@
-"""Fuzzy line dedup: SimHash stars and a prefix filter on normalised lines, edit similarity, one occurrence per connected group.
-
-A line is normalised to lower-case words with digits as 0 and marks as space. Lines of fewer than MIN_WORDS words are
-never touched. Lines with equal words are one node. A node's 64-bit SimHash over words and word pairs is cut into
-BLOCKS blocks; RADIUS changed bits leave BLOCKS - RADIUS of them whole, so nodes within RADIUS bits agree on one
-pair of blocks at least; those that meet are first paired with the least of them alone, which joins crowds of near
-lines by few checks. Then all nodes that no verified pair has joined yet are compared by a prefix filter that misses
-none: lines of SIMILARITY share one of their rarest words, and lengths, places of that word and parities of words bound
-their distance. Pairs are verified by word edit similarity (insertions and deletions over both lengths) of SIMILARITY
-or more. Groups are connected components. Of each group the occurrence of
-the smallest document and line stays; the other lines go, and what is left is joined by line feeds as before.
+"""Fuzzy line dedup: pigeonhole blocks of normalised lines, edit similarity, one occurrence per connected group.
+
+A line is normalised to lower-case words with digits as 0 and marks as space. Lines with equal words are one node, of
+any length; lines without words are never touched. Lines of MIN_WORDS words or more are also joined fuzzily. The bits
+of a SimHash are no help there: a line with one word in five changed differs in about 13 of 64 bits, so no block that is
+long enough to tell lines apart stays whole. Blocks are therefore words: of each line the RARE rarest (by counts over
+all texts), and lines that keep two of them share a block of two. Alike lines keep two of three of them on average at the least similarity; the tests
+measure what share of all alike pairs that finds. A block of common words alone takes three.
+
+Each node is first paired with the least and the greatest node of its blocks alone, which joins crowds of near lines by
+few checks; then nodes of one block and different groups. Lengths and parities of words bound the distance of a pair before
+texts are fetched, then word edit similarity (1 - insertions and deletions over both lengths) of SIMILARITY or more
+decides. Groups are connected components. Of each group the occurrence of the smallest document and line stays; the
+other lines go, and what is left is joined by line feeds as before.
 
 Null texts stay null and empty ones empty: they have no lines to lose. Texts of one id count as separate rows of one
 document; repeated rows lose their repeated lines like any other, except that rows equal in id and text keep the same
-lines. A null doc_id comes last. Other columns are kept.
+lines. A null doc_id comes last. Other columns are kept, but n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, discard, doc_key, materialise
@@ -31,10 +33,14 @@ from .repeats import _longs
 from .textkernel import mix, prefix_hash, range_hash, text_chunks, word_hashes, words
 
 MIN_WORDS, SIMILARITY = 5, 0.8
-RADIUS, BLOCKS = 3, 5
 CHUNK = 1 << 18
-#: Counters of word frequencies, the share of documents (one of so many) that they count, and pairs compared at once.
-BUCKETS, ORDER_SHARE, PAIRS = 1 << 20, 4, 1 << 20
+#: Words of a line that make its blocks.
+RARE = 6
+#: Counters of words, and how many are sent at once.
+BUCKETS, SLICE = 1 << 20, 1 << 12
+#: A word is common if it is one of so many words, and occurs so often at least.
+COMMON_SHARE, COMMON_LEAST, FREQUENT = 1 << 14, 64, 128
+NONE = np.uint64((1 << 64) - 1)
 
 #: What a byte becomes: ASCII letters lower-case, digits 0, other ASCII a space; bytes of other characters stay.
 _PLAIN = np.array([c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 48 if chr(c).isdigit() else 32 for c in range(256)], np.uint8)
@@ -48,215 +54,130 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.r_[starts, len(data)], before
 
 
-def _votes(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """How many of each line's hashes have each bit set: lines x 64. sizes: hashes of each line, positive."""
-    parts = -(-sizes // 255)  # of at most 255 hashes, whose counts fit into bytes
-    if not len(sizes):
-        return np.zeros((0, 64), np.int32)
-    line_parts = np.cumsum(parts) - parts
-    of = np.repeat(np.arange(len(sizes)), parts)
-    heads = (np.cumsum(sizes) - sizes)[of] + 255 * (np.arange(len(of)) - line_parts[of])
-    out = np.empty((len(of), 8, 8), np.uint8)
-    for b in range(8):
-        out[:, :, b] = np.add.reduceat((x >> np.uint64(b)) & np.uint64(0x0101010101010101), heads).view(np.uint8).reshape(-1, 8)
-    return np.add.reduceat(out.reshape(-1, 64), line_parts, axis=0, dtype=np.int32)
-
-
-def _marked(data: np.ndarray, offsets: np.ndarray):
-    """(text, line in text, node, simhash, words) of lines of MIN_WORDS words or more."""
-    edges, before = _lines(data, offsets)
-    starts, ends, first = words(_PLAIN[data], edges)
-    plain = _PLAIN[data]
-    hashes = word_hashes(plain, starts, ends)
-    n = np.diff(first)
-    prefix = prefix_hash(hashes)
-    node = range_hash(prefix, first[:-1], first[1:])
-    long = np.flatnonzero(n >= MIN_WORDS)
-    sizes = n[long]
-    ends_at = np.cumsum(sizes)
-    heads = ends_at - sizes
-    at = np.arange(ends_at[-1] if len(long) else 0) + np.repeat(first[long] - heads, sizes)
-    pairs = range_hash(prefix, at, np.minimum(at + 2, len(hashes)))
-    pairs[ends_at - 1] = hashes[at[ends_at - 1]]  # the last word has no pair in its line
-    votes = _votes(mix(hashes[at]), sizes) + _votes(pairs, sizes)
-    sim = np.packbits(votes > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    text = np.searchsorted(before, long, "right") - 1
-    return text, long - before[text], node[long], sim, n[long]
-
-
-def marked_lines(docs: DataFrame) -> DataFrame:
-    """(rk, doc, line, node, sim) of the lines that take part; docs: rk, doc, text."""
-
-    def run(batches):
-        for batch in batches:
-            rk, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, b, data, offsets in text_chunks(batch.column(2), CHUNK):
-                text, line, node, sim, _ = _marked(data, offsets)
-                yield pa.RecordBatch.from_arrays([_longs(rk[a:b][text]), _longs(doc[a:b][text]), _longs(line), _longs(node), _longs(sim)], ["rk", "doc", "line", "node", "sim"])
-
-    return docs.select("rk", "doc", "text").mapInArrow(run, "rk long, doc long, line long, node long, sim long")
-
-
-def _near(x: str, y: str):
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= RADIUS
-
-
-def crowds(nodes: DataFrame) -> DataFrame:
-    """(k, node, sim, first): nodes that share a pair of whole blocks with others, and the least node that shares it; nodes: node, sim."""
-    width, keys = 64 // BLOCKS, []
-    edges = [i * width for i in range(BLOCKS)] + [64]
-    for tag, kept in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS)):
-        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in kept)
-        mask -= (mask >> 63) << 64
-        keys.append(F.xxhash64(F.lit(tag), F.col("sim").bitwiseAND(F.lit(mask).cast("long"))))
-    dealt = nodes.select("node", "sim", F.explode(F.array(*keys)).alias("k"))
-    same = Window.partitionBy("k")
-    return dealt.select("k", "node", "sim", F.min(F.struct("node", "sim")).over(same).alias("first"), F.count(F.lit(1)).over(same).alias("c")).where("c > 1").drop("c")
-
-
-def star_pairs(crowd: DataFrame) -> DataFrame:
-    """(a, b): each node with the least node of its crowds, if near."""
-    return crowd.select(F.col("first.node").alias("a"), F.col("first.sim").alias("sa"), F.col("node").alias("b"), F.col("sim").alias("sb")).where((F.col("a") != F.col("b")) & _near("sa", "sb")).select("a", "b").distinct()
-
-
-def least_overlap(n, m):
-    """Words that lines of n and m words have in common, in order, where their edit similarity reaches 0.8."""
-    return (n + m - (n + m) // 5 + 1) // 2
-
+def word_classes(docs: DataFrame) -> np.ndarray:
+    """A byte for each of BUCKETS buckets of words: twice the logarithm of how often they occur, and FREQUENT for common ones.
 
-def word_order(docs: DataFrame) -> np.ndarray:
-    """How often words of each bucket occur in a share of the documents: rare words come first. Any order gives the same pairs."""
+    All texts are counted. Every task adds up its own counters and sends them in slices; the driver gets one sum a slice.
+    """
 
-    def run(batches):
+    def count(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0), CHUNK):
                 plain = _PLAIN[data]
                 starts, ends, _ = words(plain, offsets)
-                counts += np.bincount((word_hashes(plain, starts, ends) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["bucket", "n"])
+                np.add.at(counts, _bucket(word_hashes(plain, starts, ends)), 1)
+        for i in np.flatnonzero(counts.reshape(-1, SLICE).any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts[i * SLICE : (i + 1) * SLICE].tobytes()], pa.binary())], ["slice", "counts"])
 
-    found = docs.where(F.pmod("rk", F.lit(ORDER_SHARE)) == 0).select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int32)
-    out[found.column(0).to_numpy()] = np.minimum(found.column(1).to_numpy(), (1 << 31) - 1)
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(raw, np.int64)
+        for i, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    found = docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).toArrow()
+    counts = np.zeros((BUCKETS // SLICE, SLICE), np.int64)
+    for i, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        counts[i] = np.frombuffer(raw, np.int64)
+    counts = counts.ravel()
+    common = counts > max(int(counts.sum()) // COMMON_SHARE, COMMON_LEAST)
+    return (np.log2(counts + 1) * 2).astype(np.uint8) + np.where(common, FREQUENT, 0).astype(np.uint8)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _rarest(keys: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The RARE least different keys of each line in order, NONE where a line has fewer. heads: first key of each line."""
+    left, out = keys.copy(), []
+    for _ in range(RARE):
+        out.append(np.minimum.reduceat(left, heads) if len(heads) else left)
+        left[left == np.repeat(out[-1], sizes)] = NONE
     return out
 
 
-def _prefixes(lines: list[bytes], order: np.ndarray):
-    """(line, word hash, place, words, short prefix too, parities) of each line's rarest words.
+_COLUMNS = ["rk", "doc", "line", "node", "words", "p0", "p1"]
+_RARE_COLUMNS = [f"w{i}" for i in range(RARE)]
+
 
-    Lines of n <= m words that are alike share a word within the n - least_overlap(n, n) + 1 rarest of the one and the
-    rarest of the other that are left out of its least overlap with any line; all places of such a word are listed.
-    Parities of words in 256 buckets differ in at most as many bits as words are inserted and deleted.
+def marked_lines(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(rk, doc, line, node, words, p0, p1, w0, ...) of all lines with words; docs: rk, doc, text.
+
+    node: a hash of the words. p0, p1: parities of the words in 128 buckets. w0, ...: the rarest words, negative if
+    common; none for lines of fewer than MIN_WORDS words.
     """
-    data = _PLAIN[np.frombuffer(b"".join(lines), np.uint8)]
-    offsets = np.r_[0, np.cumsum([len(x) for x in lines])]
-    starts, ends, first = words(data, offsets)
-    h = word_hashes(data, starts, ends)
-    n = np.diff(first)
-    of = np.repeat(np.arange(len(n)), n)
-    bits = np.bincount(of * 256 + (h >> np.uint64(56)).astype(np.int64), minlength=256 * len(n)).reshape(-1, 256) & 1
-    parity = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
-    sorted_ = np.lexsort((h, order[(h % np.uint64(BUCKETS)).astype(np.int64)], of))
-    h, place, at = h[sorted_], sorted_ - first[of], np.arange(len(h)) - first[of]
-    long = n - least_overlap(n, np.maximum(-(-2 * n // 3), MIN_WORDS)) + 1
-    short = n - least_overlap(n, n) + 1
-    within = lambda size: (at < size[of]) | (h == h[(first[:-1] + size - 1)[of]])
-    some = np.flatnonzero(within(long))
-    return of[some], h[some], place[some], n[of[some]], within(short)[some], parity[of[some]]
 
+    def run(batches):
+        for batch in batches:
+            rk, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b, data, offsets in text_chunks(batch.column(2), CHUNK):
+                edges, before = _lines(data, offsets)
+                plain = _PLAIN[data]
+                starts, ends, first = words(plain, edges)
+                hashes = word_hashes(plain, starts, ends)
+                size = np.diff(first)
+                some = np.flatnonzero(size)
+                if not len(some):
+                    continue
+                node, n = range_hash(prefix_hash(hashes), first[:-1], first[1:])[some], size[some]
+                text = np.searchsorted(before, some, "right") - 1
+                of = np.repeat(np.arange(len(some)), n)
+                odd = (np.bincount(of * 128 + (hashes >> np.uint64(57)).astype(np.int64), minlength=128 * len(some)) & 1).astype(np.uint8)
+                parity = np.packbits(odd.reshape(-1, 128), axis=1, bitorder="little").view(np.uint64)
+                keys = (classes[_bucket(hashes)].astype(np.uint64) << np.uint64(56)) | (mix(hashes) >> np.uint64(8))
+                short = n < MIN_WORDS
+                rare = [pa.array(w.view(np.int64), pa.int64(), mask=short | (w == NONE)) for w in _rarest(keys, first[:-1][some], n)]
+                yield pa.RecordBatch.from_arrays([_longs(rk[a:b][text]), _longs(doc[a:b][text]), _longs(some - before[text]), _longs(node), _longs(n), *(_longs(np.ascontiguousarray(parity[:, i])) for i in (0, 1)), *rare], _COLUMNS + _RARE_COLUMNS)
+
+    return docs.select("rk", "doc", "text").mapInArrow(run, ", ".join(f"{c} long" for c in _COLUMNS + _RARE_COLUMNS))
+
+
+def blocks(nodes: DataFrame) -> DataFrame:
+    """(k, node): the blocks of each node, two of its rarest words each; three where all of them are common words.
+
+    Lines of few different words also have their single words and pairs as blocks.
+    """
+    few, keys = F.col("w3").isNull(), []
+    for i in range(RARE):
+        keys.append(F.when(few & F.col(f"w{i}").isNotNull(), F.xxhash64(f"w{i}")) if i < 3 else None)
+        for j in range(i + 1, RARE):
+            keys.append(F.when(F.col(f"w{j}").isNotNull() & (few | (F.col(f"w{i}") >= 0)), F.xxhash64(f"w{i}", f"w{j}")))
+            keys += [F.when(F.col(f"w{k}").isNotNull() & (F.col(f"w{i}") < 0), F.xxhash64(f"w{i}", f"w{j}", f"w{k}")) for k in range(j + 1, RARE)]
+    return nodes.select("node", F.explode(F.array_compact(F.array(*[k for k in keys if k is not None]))).alias("k"))
 
-_KEYS = ["k", "n", "node", "grp", "spot", "s0", "s1", "s2", "s3"]
 
+def _may_be_alike():
+    """Whether lengths and parities of a and b allow SIMILARITY: every insertion or deletion changes both by one."""
+    most = F.floor((F.col("na") + F.col("nb")) * F.lit(1 - SIMILARITY) + F.lit(1e-9))
+    far = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    return (F.abs(F.col("na") - F.col("nb")) <= most) & (far <= most)
 
-def prefix_words(docs: DataFrame, wanted: DataFrame, order: np.ndarray) -> DataFrame:
-    """A row for each rare word of the lines in wanted: (rk, line, node, grp). spot: place * 2, and 1 if in the short prefix."""
 
-    def run(batches):
-        for batch in batches:
-            lines, nodes, groups = [], [], []
-            for text, some in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
-                cut = text.as_py().split(b"\n")
-                for w in some:
-                    lines.append(cut[w["line"]])
-                    nodes.append(w["node"])
-                    groups.append(w["grp"])
-            for a, b in _spans([len(x) for x in lines], CHUNK):
-                of, h, place, n, short, parity = _prefixes([x + b"\n" for x in lines[a:b]], order)
-                ids, grp = np.array(nodes[a:b], np.int64)[of], np.array(groups[a:b], np.int64)[of]
-                yield pa.RecordBatch.from_arrays([_longs(h), _longs(n), _longs(ids), _longs(grp), _longs(place * 2 + short), *(_longs(np.ascontiguousarray(parity[:, i])) for i in range(4))], _KEYS)
-
-    lists = wanted.groupBy("rk").agg(F.collect_list(F.struct("line", "node", "grp")).alias("some"))
-    return docs.join(lists.hint("shuffle_hash"), "rk").select("text", "some").mapInArrow(run, ", ".join(f"{c} long" for c in _KEYS))
-
-
-def _spans(sizes: list[int], limit: int):
-    """Ranges of neighbours of about limit in all."""
-    a = total = 0
-    for i, x in enumerate(sizes):
-        if total and total + x > limit:
-            yield a, i
-            a, total = i, 0
-        total += x
-    if a < len(sizes):
-        yield a, len(sizes)
-
-
-def _meet(rows: np.ndarray):
-    """(a, b) nodes of different groups that may be alike; rows: _KEYS in columns, sorted by k, n and node."""
-    k, n, node, grp, spot = rows[:5]
-    parity, place = rows[5:].view(np.uint64), spot >> 1
-    run = np.r_[0, np.cumsum(k[1:] != k[:-1])] << 32
-    head = np.flatnonzero(spot & 1)
-    end = np.searchsorted(run + n, run[head] + 3 * n[head] // 2, "right")
-    counts = end - head - 1
-    head, counts = head[counts > 0], counts[counts > 0]
-    upto = np.cumsum(counts)
-    at = 0
-    while at < len(head):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
-        c = counts[at:to]
-        i = np.repeat(head[at:to], c)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + i + 1
-        at = to
-        d = place[i] - place[j]
-        gap = n[i] - n[j]
-        most = (n[i] + n[j]) // 5
-        good = (np.abs(d) + np.abs(gap - d) <= most) & (grp[i] != grp[j])
-        i, j, most = i[good], j[good], most[good]
-        far = np.zeros(len(i), np.int64)
-        for s in parity:
-            far += np.bitwise_count(s[i] ^ s[j])
-            good = far <= most
-            i, j, most, far = i[good], j[good], most[good], far[good]
-        if len(i):
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            yield np.unique(np.stack([a, b]), axis=1)
-
-
-def cross_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b): all nodes of different groups whose similarity their lengths, rare words, places and parities allow."""
+def _sketch(nodes: DataFrame, side: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(side), F.col("words").alias(f"n{side}"), F.col("p0").alias(f"{side}0"), F.col("p1").alias(f"{side}1"))
 
-    def run(batches):
-        held, size = [], 0
 
-        def pairs(rows):
-            for a, b in _meet(rows):
-                yield pa.RecordBatch.from_arrays([_longs(a), _longs(b)], ["a", "b"])
+def star_pairs(met: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): each node with the least and the greatest node of its blocks, if they may be alike."""
+    ends = met.select(F.col("lo").alias("a"), F.col("node").alias("b")).union(met.select("node", "hi")).where("a <> b").distinct()
+    return ends.join(_sketch(sketches, "a"), "a").join(_sketch(sketches, "b"), "b").where(_may_be_alike()).select("a", "b")
 
-        for batch in batches:
-            held.append(np.stack([c.to_numpy() for c in batch.columns]))
-            size += batch.num_rows
-            if size >= CHUNK and held[-1][0, -1] != held[0][0, 0]:
-                rows = np.concatenate(held, axis=1)
-                cut = int(np.flatnonzero(rows[0] != rows[0, -1])[-1]) + 1  # the last word may go on
-                yield from pairs(rows[:, :cut])
-                held, size = [rows[:, cut:]], rows.shape[1] - cut
-        if size:
-            yield from pairs(np.concatenate(held, axis=1))
 
-    return keys.repartition(F.col("k")).sortWithinPartitions("k", "n", "node").mapInArrow(run, "a long, b long").distinct()
+def cross_pairs(met: DataFrame, sketches: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): nodes of one block and different groups that may be alike; groups: (id, root) of what stars have joined."""
+    rows = met.select("k", "node").join(groups.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
+    rows = materialise(rows.join(mixed, "k").join(sketches.select("node", "words", "p0", "p1"), "node"), "line-mixed")
+    side = lambda s: rows.select("k", F.col("node").alias(s), F.col("root").alias(f"g{s}"), F.col("words").alias(f"n{s}"), F.col("p0").alias(f"{s}0"), F.col("p1").alias(f"{s}1"))
+    found = side("a").join(side("b"), "k").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _may_be_alike()).select("a", "b").distinct()
+    found = materialise(found, "line-cross")
+    discard(rows)
+    return found
 
 
 def edit_similar(x: list, y: list, least: float) -> bool:
@@ -317,31 +238,30 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def lines_to_drop(docs: DataFrame) -> DataFrame:
     """(rk, drop): the numbers of the lines that each row loses; docs: rk, doc, text."""
-    lines = materialise(marked_lines(docs), "lines")
-    nodes = materialise(lines.groupBy("node").agg(F.min("sim").alias("sim"), F.min(F.struct("doc", "rk", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "line-nodes")
-    crowd = materialise(crowds(nodes.select("node", "sim")), "line-crowds")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = materialise(_texts_of(docs, nodes.join(ends, "node").select("node", "first.rk", "first.line")), "line-texts")
-        good = materialise(_verified(pairs, texts), "line-links")
-        discard(pairs, texts)
-        return good
-
-    # A crowd of n near lines is joined through its least line, by n checks; pairs are made only between groups.
-    links = check(materialise(star_pairs(crowd), "line-stars"))
-    stars = components(links, "line-stars-groups")
-    wanted = nodes.join(stars, nodes["node"] == stars["id"], "left").select("first.rk", "first.line", "node", F.coalesce("root", "node").alias("grp"))
-    cross = materialise(cross_pairs(prefix_words(docs, wanted, word_order(docs))), "line-cross")
+    lines = materialise(marked_lines(docs, word_classes(docs)), "lines")
+    same = [F.first(c).alias(c) for c in ["words", "p0", "p1", *_RARE_COLUMNS]]
+    nodes = materialise(lines.groupBy("node").agg(F.min(F.struct("doc", "rk", "line")).alias("first"), F.count(F.lit(1)).alias("n"), *same), "line-nodes")
+    dealt = blocks(nodes)
+    shared = dealt.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    met = materialise(dealt.join(shared.hint("shuffle_hash"), "k"), "line-blocks")
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi")
+    sketches = materialise(wanted.select("node", "words", "p0", "p1", "first"), "line-sketches")
+    texts = materialise(_texts_of(docs, sketches.select("node", "first.rk", "first.line")), "line-texts")
+    # A crowd of near lines is joined through two of its lines, by two checks a line; other pairs are made only between groups.
+    stars = materialise(_verified(star_pairs(met, sketches), texts), "line-stars")
+    groups = components(stars, "line-stars-groups")
+    cross = cross_pairs(met, sketches, groups)
+    links = stars
     if not cross.isEmpty():
-        links = links.unionByName(check(cross))
-    groups = components(links, "line-groups")
-    known = nodes.join(groups, nodes["node"] == groups["id"], "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n", F.col("root").isNotNull().alias("grouped"))
+        discard(groups)
+        links = stars.unionByName(_verified(cross, texts))
+        groups = components(links, "line-groups")
+    known = nodes.select("node", "first", "n").join(groups, nodes["node"] == groups["id"], "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n")
     kept = known.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total"))
     targets = known.join(kept.where("total > 1"), "root").select("node", "keep")
-    gone = lines.join(targets, "node").where(~((F.col("rk") == F.col("keep.rk")) & (F.col("line") == F.col("keep.line"))))
+    gone = lines.select("rk", "line", "node").join(targets, "node").where(~((F.col("rk") == F.col("keep.rk")) & (F.col("line") == F.col("keep.line"))))
     out = materialise(gone.groupBy("rk").agg(F.array_sort(F.collect_set("line")).alias("drop")), "line-drops")
-    discard(lines, nodes, crowd)
+    discard(lines, nodes, met, sketches, texts, stars, cross, groups)
     return out
 
 
@@ -357,7 +277,8 @@ def _without(text: str | None, drop: list[int] | None) -> tuple[str | None, int,
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with repeated lines gone from its text, and n_lines, n_removed."""
+    """df with repeated lines gone from its text, and n_lines, n_removed (in place of columns of these names)."""
+    df = df.drop("n_lines", "n_removed")
     names = [c for c in df.columns if c != text]
     plain = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text).alias("text"), F.col(key).alias("doc_id")).withColumn("rk", doc_key()).withColumn("doc", F.coalesce("doc_id", F.lit(LAST_ID))).drop("doc_id")
     drops = lines_to_drop(plain.select("rk", "doc", "text"))
