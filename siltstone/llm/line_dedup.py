@@ -181,29 +181,23 @@ def cross_pairs(met: DataFrame, sketches: DataFrame, groups: DataFrame) -> DataF
 
 
 def edit_similar(x: list, y: list, least: float) -> bool:
-    """Whether 1 - (insertions + deletions) / (len(x) + len(y)) reaches least, by the greedy diff within that bound."""
+    """Whether 1 - (insertions + deletions) / (len(x) + len(y)) reaches least, by the longest common subsequence in bits.
+
+    The bits of row tell at which words of x the longest subsequence that x so far shares with y so far doesn't grow.
+    """
     total = len(x) + len(y)
     most = int((1 - least) * total + 1e-9)
-    a = 0
-    while a < len(x) and a < len(y) and x[a] == y[a]:
-        a += 1
-    b = 0
-    while b < min(len(x), len(y)) - a and x[-1 - b] == y[-1 - b]:
-        b += 1
-    x, y = x[a : len(x) - b], y[a : len(y) - b]
     if abs(len(x) - len(y)) > most:
         return False
-    ends = {1: 0}
-    for d in range(most + 1):
-        for k in range(-d, d + 1, 2):
-            i = ends[k + 1] if k == -d or (k != d and ends[k - 1] < ends[k + 1]) else ends[k - 1] + 1
-            j = i - k
-            while i < len(x) and j < len(y) and x[i] == y[j]:
-                i, j = i + 1, j + 1
-            ends[k] = i
-            if i >= len(x) and j >= len(y):
-                return True
-    return False
+    places: dict = {}
+    for i, w in enumerate(x):
+        places[w] = places.get(w, 0) | 1 << i
+    whole = row = (1 << len(x)) - 1
+    for w in y:
+        if at := places.get(w):
+            grown = row & at
+            row = (row + grown) | (row - grown)
+    return total - 2 * (len(x) - (row & whole).bit_count()) <= most
 
 
 def _plain_words(line: bytes) -> list[bytes]:
