@@ -236,8 +236,9 @@ def lines_to_drop(docs: DataFrame) -> DataFrame:
     same = [F.first(c).alias(c) for c in ["words", "p0", "p1", *_RARE_COLUMNS]]
     nodes = materialise(lines.groupBy("node").agg(F.min(F.struct("doc", "rk", "line")).alias("first"), F.count(F.lit(1)).alias("n"), *same), "line-nodes")
     dealt = blocks(nodes)
-    shared = dealt.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    shared = materialise(dealt.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "line-shared")
     met = materialise(dealt.join(shared.hint("shuffle_hash"), "k"), "line-blocks")
+    discard(shared)
     wanted = nodes.join(met.select("node").distinct(), "node", "left_semi")
     sketches = materialise(wanted.select("node", "words", "p0", "p1", "first"), "line-sketches")
     texts = materialise(_texts_of(docs, sketches.select("node", "first.rk", "first.line")), "line-texts")
