@@ -37,11 +37,14 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, lost executors cost nothing, shuffle files go."""
+def materialise(df: DataFrame, label: str, conf: dict[str, str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut, lost executors cost nothing, shuffle files go.
+
+    conf: session settings for this write alone.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    own = {_CLEANUP: "true", _BATCH: BATCH_ROWS}
+    own = {_CLEANUP: "true", _BATCH: BATCH_ROWS} | (conf or {})
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)

@@ -21,6 +21,7 @@ lines. A null doc_id comes last. Other columns are kept, but n_lines and n_remov
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -130,8 +131,10 @@ def marked_lines(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 odd = (np.bincount(of * 128 + (hashes >> np.uint64(57)).astype(np.int64), minlength=128 * len(some)) & 1).astype(np.uint8)
                 parity = np.packbits(odd.reshape(-1, 128), axis=1, bitorder="little").view(np.uint64)
                 keys = (classes[_bucket(hashes)].astype(np.uint64) << np.uint64(56)) | (mix(hashes) >> np.uint64(8))
-                short = n < MIN_WORDS
-                rare = [pa.array(w.view(np.int64), pa.int64(), mask=short | (w == NONE)) for w in _rarest(keys, first[:-1][some], n)]
+                rarest = _rarest(keys, first[:-1][some], n)
+                # One word in another's place leaves two of the four rarest: so many are enough below ten words.
+                enough = (n < 2 * MIN_WORDS) & (rarest[3] >> np.uint64(63) == 0)
+                rare = [pa.array(w.view(np.int64), pa.int64(), mask=(n < MIN_WORDS) | (w == NONE) | (enough & (i > 3))) for i, w in enumerate(rarest)]
                 yield pa.RecordBatch.from_arrays([_longs(rk[a:b][text]), _longs(doc[a:b][text]), _longs(some - before[text]), _longs(node), _longs(n), *(_longs(np.ascontiguousarray(parity[:, i])) for i in (0, 1)), *rare], _COLUMNS + _RARE_COLUMNS)
 
     return docs.select("rk", "doc", "text").mapInArrow(run, ", ".join(f"{c} long" for c in _COLUMNS + _RARE_COLUMNS))
@@ -142,13 +145,16 @@ def blocks(nodes: DataFrame) -> DataFrame:
 
     Lines of few different words also have their single words and pairs as blocks.
     """
-    few, keys = F.col("w3").isNull(), []
-    for i in range(RARE):
-        keys.append(F.when(few & F.col(f"w{i}").isNotNull(), F.xxhash64(f"w{i}")) if i < 3 else None)
-        for j in range(i + 1, RARE):
-            keys.append(F.when(F.col(f"w{j}").isNotNull() & (few | (F.col(f"w{i}") >= 0)), F.xxhash64(f"w{i}", f"w{j}")))
-            keys += [F.when(F.col(f"w{k}").isNotNull() & (F.col(f"w{i}") < 0), F.xxhash64(f"w{i}", f"w{j}", f"w{k}")) for k in range(j + 1, RARE)]
-    return nodes.select("node", F.explode(F.array_compact(F.array(*[k for k in keys if k is not None]))).alias("k"))
+    w = [F.col(c) for c in _RARE_COLUMNS]
+    made = lambda rows, keys: rows.select("node", F.explode(F.array(*keys)).alias("k")).where("k is not null")
+    places = range(RARE)
+    pairs = [F.when(w[i] >= 0, F.xxhash64(w[i], w[j])) for i, j in combinations(places, 2)]  # the rarer of two comes first
+    most = made(nodes, [F.when(w[j].isNotNull(), p) for (_, j), p in zip(combinations(places, 2), pairs, strict=True)])
+    few = w[3].isNull()
+    rest = [F.when(w[k].isNotNull() & (w[i] < 0), F.xxhash64(w[i], w[j], w[k])) for i, j, k in combinations(places, 3)]
+    rest += [F.when(few & w[i].isNotNull(), F.xxhash64(w[i])) for i in range(3)]
+    rest += [F.when(few & w[j].isNotNull() & (w[i] < 0), F.xxhash64(w[i], w[j])) for i, j in combinations(range(3), 2)]
+    return most.unionByName(made(nodes.where((w[RARE - 3] < 0) | w[RARE - 1].isNull()), rest))
 
 
 def _may_be_alike():
@@ -236,7 +242,7 @@ def lines_to_drop(docs: DataFrame) -> DataFrame:
     same = [F.first(c).alias(c) for c in ["words", "p0", "p1", *_RARE_COLUMNS]]
     nodes = materialise(lines.groupBy("node").agg(F.min(F.struct("doc", "rk", "line")).alias("first"), F.count(F.lit(1)).alias("n"), *same), "line-nodes")
     dealt = blocks(nodes)
-    shared = materialise(dealt.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "line-shared")
+    shared = materialise(dealt.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "line-shared", {"spark.sql.codegen.aggregate.map.twolevel.enabled": "false"})
     met = materialise(dealt.join(shared.hint("shuffle_hash"), "k"), "line-blocks")
     discard(shared)
     wanted = nodes.join(met.select("node").distinct(), "node", "left_semi")
