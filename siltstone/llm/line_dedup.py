@@ -102,15 +102,14 @@ def _rarest(keys: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> list[np.n
     return out
 
 
-_COLUMNS = ["rk", "doc", "line", "node", "words", "p0", "p1"]
+_COLUMNS = ["rk", "doc", "line", "node"]
 _RARE_COLUMNS = [f"w{i}" for i in range(RARE)]
 
 
 def marked_lines(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(rk, doc, line, node, words, p0, p1, w0, ...) of all lines with words; docs: rk, doc, text.
+    """(rk, doc, line, node, w0, ...) of all lines with words; docs: rk, doc, text.
 
-    node: a hash of the words. p0, p1: parities of the words in 128 buckets. w0, ...: the rarest words, negative if
-    common; none for lines of fewer than MIN_WORDS words.
+    node: a hash of the words. w0, ...: the rarest words, negative if common; none for lines of fewer than MIN_WORDS words.
     """
 
     def run(batches):
@@ -127,15 +126,12 @@ def marked_lines(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                     continue
                 node, n = range_hash(prefix_hash(hashes), first[:-1], first[1:])[some], size[some]
                 text = np.searchsorted(before, some, "right") - 1
-                of = np.repeat(np.arange(len(some)), n)
-                odd = (np.bincount(of * 128 + (hashes >> np.uint64(57)).astype(np.int64), minlength=128 * len(some)) & 1).astype(np.uint8)
-                parity = np.packbits(odd.reshape(-1, 128), axis=1, bitorder="little").view(np.uint64)
                 keys = (classes[_bucket(hashes)].astype(np.uint64) << np.uint64(56)) | (mix(hashes) >> np.uint64(8))
                 rarest = _rarest(keys, first[:-1][some], n)
                 # One word in another's place leaves two of the four rarest: so many are enough below ten words.
                 enough = (n < 2 * MIN_WORDS) & (rarest[3] >> np.uint64(63) == 0)
                 rare = [pa.array(w.view(np.int64), pa.int64(), mask=(n < MIN_WORDS) | (w == NONE) | (enough & (i > 3))) for i, w in enumerate(rarest)]
-                yield pa.RecordBatch.from_arrays([_longs(rk[a:b][text]), _longs(doc[a:b][text]), _longs(some - before[text]), _longs(node), _longs(n), *(_longs(np.ascontiguousarray(parity[:, i])) for i in (0, 1)), *rare], _COLUMNS + _RARE_COLUMNS)
+                yield pa.RecordBatch.from_arrays([_longs(rk[a:b][text]), _longs(doc[a:b][text]), _longs(some - before[text]), _longs(node), *rare], _COLUMNS + _RARE_COLUMNS)
 
     return docs.select("rk", "doc", "text").mapInArrow(run, ", ".join(f"{c} long" for c in _COLUMNS + _RARE_COLUMNS))
 
@@ -210,19 +206,34 @@ def _plain_words(line: bytes) -> list[bytes]:
     return line.translate(_PLAIN.tobytes()).split()
 
 
+def _parities(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each line, parities of its words in 128 buckets as two numbers)."""
+    data = _PLAIN[np.frombuffer(b"".join(lines), np.uint8)]
+    starts, ends, first = words(data, np.r_[0, np.cumsum([len(x) for x in lines])])
+    n = np.diff(first)
+    place = np.repeat(np.arange(len(n)) * 128, n) + (word_hashes(data, starts, ends) >> np.uint64(57)).astype(np.int64)
+    odd = (np.bincount(place, minlength=128 * len(n)) & 1).astype(np.uint8)
+    return n, np.packbits(odd.reshape(-1, 128), axis=1, bitorder="little").view(np.uint64)
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, line_text) for wanted: (rk, line, node)."""
+    """(node, words, p0, p1, line_text) for wanted: (rk, line, node)."""
+    names = ["node", "words", "p0", "p1", "line_text"]
 
     def run(batches):
         for batch in batches:
-            out: list[tuple[int, bytes]] = []
+            nodes, lines = [], []
             for text, some in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
-                lines = (text.as_py() or b"").split(b"\n")
-                out += [(w["node"], lines[w["line"]]) for w in some]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary())], ["node", "line_text"])
+                cut = text.as_py().split(b"\n")
+                nodes += [w["node"] for w in some]
+                lines += [cut[w["line"]] for w in some]
+            for at in range(0, len(lines), 1000):
+                part = lines[at : at + 1000]
+                n, parity = _parities([x + b"\n" for x in part])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + 1000], pa.int64()), _longs(n), *(_longs(np.ascontiguousarray(parity[:, i])) for i in (0, 1)), pa.array(part, pa.binary())], names)
 
     lists = wanted.groupBy("rk").agg(F.collect_list(F.struct("line", "node")).alias("some"))
-    return docs.join(lists.hint("shuffle_hash"), "rk").select("text", "some").mapInArrow(run, "node long, line_text binary").dropDuplicates(["node"])
+    return docs.join(lists.hint("shuffle_hash"), "rk").select("text", "some").mapInArrow(run, "node long, words long, p0 long, p1 long, line_text binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,19 +250,18 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def lines_to_drop(docs: DataFrame) -> DataFrame:
     """(rk, drop): the numbers of the lines that each row loses; docs: rk, doc, text."""
     lines = materialise(marked_lines(docs, word_classes(docs)), "lines")
-    same = [F.first(c).alias(c) for c in ["words", "p0", "p1", *_RARE_COLUMNS]]
+    same = [F.first(c).alias(c) for c in _RARE_COLUMNS]
     nodes = materialise(lines.groupBy("node").agg(F.min(F.struct("doc", "rk", "line")).alias("first"), F.count(F.lit(1)).alias("n"), *same), "line-nodes")
     dealt = blocks(nodes)
     shared = materialise(dealt.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "line-shared", {"spark.sql.codegen.aggregate.map.twolevel.enabled": "false"})
     met = materialise(dealt.join(shared.hint("shuffle_hash"), "k"), "line-blocks")
     discard(shared)
     wanted = nodes.join(met.select("node").distinct(), "node", "left_semi")
-    sketches = materialise(wanted.select("node", "words", "p0", "p1", "first"), "line-sketches")
-    texts = materialise(_texts_of(docs, sketches.select("node", "first.rk", "first.line")), "line-texts")
+    texts = materialise(_texts_of(docs, wanted.select("node", "first.rk", "first.line")), "line-texts")
     # A crowd of near lines is joined through two of its lines, by two checks a line; other pairs are made only between groups.
-    stars = materialise(_verified(star_pairs(met, sketches), texts), "line-stars")
+    stars = materialise(_verified(star_pairs(met, texts), texts), "line-stars")
     groups = components(stars, "line-stars-groups")
-    cross = cross_pairs(met, sketches, groups)
+    cross = cross_pairs(met, texts, groups)
     links = stars
     if not cross.isEmpty():
         discard(groups)
@@ -262,7 +272,7 @@ def lines_to_drop(docs: DataFrame) -> DataFrame:
     targets = known.join(kept.where("total > 1"), "root").select("node", "keep")
     gone = lines.select("rk", "line", "node").join(targets, "node").where(~((F.col("rk") == F.col("keep.rk")) & (F.col("line") == F.col("keep.line"))))
     out = materialise(gone.groupBy("rk").agg(F.array_sort(F.collect_set("line")).alias("drop")), "line-drops")
-    discard(lines, nodes, met, sketches, texts, stars, cross, groups)
+    discard(lines, nodes, met, texts, stars, cross, groups)
     return out
 
 
