@@ -28,6 +28,15 @@ def normalized(x):
     return x.map(one, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def markup_text(x):
+    """NFC; zero-width spaces separate words and are spaces, byte order marks and soft hyphens go; null is empty."""
+    import unicodedata
+
+    marks = {0x200B: " ", 0x00A0: " ", 0xFEFF: None, 0x00AD: None}
+    return x.fillna("").map(lambda t: " ".join(unicodedata.normalize("NFC", t).translate(marks).split()))
+
+
 @F.pandas_udf(StringType())
 def match_key(x):
     """normalized(), casefolded, word characters only; null is empty."""

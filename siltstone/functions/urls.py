@@ -113,6 +113,21 @@ def identity(url: Column) -> Column:
     )
 
 
+def record_slot(url: Column) -> Column:
+    """struct(day, slot) of an old agency address .../newsrecord/<year>/<month's name>/<d>.<m>.<year>/edn<slot>.htm, else null.
+
+    Both years must be the same and the day must exist.
+    """
+    parts = F.split(F.lower(url), "/")
+    last = lambda n: F.try_element_at(parts, F.lit(-n))
+    dmy = F.split(last(2), "\\.")
+    number = lambda i: F.coalesce(F.try_element_at(dmy, F.lit(i)), F.lit(""))
+    slot = F.regexp_extract(last(1), "^edn([0-9]+)\\.htm$", 1)
+    day = _date(number(3), number(2), number(1))
+    fits = (last(5) == "newsrecord") & last(4).rlike("^20[0-9]{2}$") & last(3).rlike("^[a-z]+$") & (F.size(dmy) == 3) & (number(3) == last(4)) & number(1).rlike("^[0-9]{1,2}$") & number(2).rlike("^[0-9]{1,2}$")
+    return F.when(fits & (slot != "") & day.isNotNull(), F.struct(day.alias("day"), slot.cast("long").alias("slot")))
+
+
 def article_kind(url: Column, first_year: int = 2021, last_year: int = 2022) -> Column:
     day, path = identity(url)["day"], F.regexp_replace(F.lower(part(url, "path")), "/+$", "")
     return (

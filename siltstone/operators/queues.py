@@ -9,17 +9,26 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 
-#: Listing pages by path, the most telling first.
-LISTING_PRIORITY = {"cooperation": 0, "leader": 1, "investment": 2, "economic": 3, "forigner": 4, "politic": 5, "technology": 6, "index": 7}
+# Listing pages by path, the most telling first.
+LISTING_PRIORITY = {
+    "/showlistcooperation.php": 0,
+    "/showlisteconomic.php": 1,
+    "/showlistpolitic.php": 2,
+    "/showlistforigner.php": 3,
+    "/showlistfinance.php": 4,
+    "/showlistagriculture.php": 5,
+    "/showlisttechnology.php": 6,
+    "/index.php": 7,
+}
 
 
 def listing_kind(url: Column, priority: dict[str, int] = LISTING_PRIORITY) -> Column:
-    """struct(kind, priority) of a listing page by the name of its file, else null."""
-    name = F.regexp_extract(F.lower(urls.part(url, "path")), "([a-z0-9_]+)\\.(?:php|html?)$", 1)
-    name = F.when(F.rtrim(urls.part(url, "path")).isin("", "/"), "index").otherwise(name)
+    """struct(kind, priority) of a listing page by its lower-case path, a bare host being its index; else null."""
+    path = F.regexp_replace(F.lower(F.coalesce(urls.part(url, "path"), F.lit(""))), "/+$", "")
+    path = F.when(url.isNull(), None).when(path == "", "/index.php").otherwise(path)
     rank = F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])
-    found = F.try_element_at(rank, name)
-    return F.when(found.isNotNull(), F.struct(name.alias("kind"), found.alias("priority")))
+    found = F.try_element_at(rank, path)
+    return F.when(found.isNotNull(), F.struct(path.alias("kind"), found.alias("priority")))
 
 
 def valid_rows(queue: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import vocab
 from ..operators import clustering, ranking, reports, tables
-from ..sources import readers, sinks
+from ..sources import readers, sinks, versions
 
 
 class Workspace:
@@ -21,16 +21,11 @@ class Workspace:
         return "/".join((self.root, *parts))
 
     def load(self, name: str, schema: str) -> DataFrame:
-        folder = self.path("tables", name)
-        return self.spark.read.schema(schema).parquet(self.spark.read.text(folder + "/_current").first()[0]) if readers.exists(self.spark, folder + "/_current/_SUCCESS") else self.spark.createDataFrame([], schema)
+        return versions.read(self.spark, self.path("tables", name), schema)
 
     def save(self, name: str, df: DataFrame) -> None:
-        """The new table is written beside the old one before the marker changes, so it may be made from the old one."""
-        folder = self.path("tables", name)
-        old = self.spark.read.text(folder + "/_current").first()[0] if readers.exists(self.spark, folder + "/_current/_SUCCESS") else ""
-        new = folder + ("/b" if old.endswith("/a") else "/a")
-        df.write.mode("overwrite").parquet(new)
-        self.spark.createDataFrame([(new,)], "folder string").coalesce(1).write.mode("overwrite").text(folder + "/_current")
+        """The new version is written beside the old one before its marker, so it may be made from the old one."""
+        versions.write(df, self.path("tables", name))
 
     def articles(self) -> DataFrame:
         return self.load("articles", schemas.ARTICLES)

@@ -130,13 +130,6 @@ def p14(spark, d):
     return queues.eligible_rows(q, ("h.org",)).select("doc_id")
 
 
-@query("p12_listing_kind", "SELECT doc_id, ['cooperation','leader','index',NULL][doc_id % 4 + 1] AS kind, [0, 1, 7, NULL][doc_id % 4 + 1] AS priority FROM documents")
-def p12(spark, d):
-    u = F.element_at(F.array(*map(F.lit, ["http://h/Cooperation.php", "http://h/leader.html?x=1", "http://h/", "http://h/other.php"])), (F.col("doc_id") % 4 + 1).cast("int"))
-    kind = queues.listing_kind(u)
-    return docs(spark, d).select("doc_id", kind["kind"].alias("kind"), kind["priority"].alias("priority"))
-
-
 @query("f33_replay_url", "SELECT doc_id, 'https://w.org/web/' || (20200101000000 + doc_id) || 'id_/http://x.org/' || doc_id AS url FROM documents")
 def f33(spark, d):
     u = F.concat(F.lit("https://w.org/web/"), (F.lit(20200101000000) + F.col("doc_id")).cast("string"), F.lit("/http://x.org/"), F.col("doc_id").cast("string"))

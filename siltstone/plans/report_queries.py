@@ -173,12 +173,6 @@ def _relations(spark, d, a):
     return {"labels": (lab, "record_id"), "clusters": (clustering.clusters(a), "representative_record_id")}
 
 
-@query("j02_orphan_audit", with_(ARTICLES) + "SELECT 'labels' AS relation, count(*) AS n FROM labels l WHERE 'DOC-EN-' || printf('%06d', l.doc_id) NOT IN (SELECT record_id FROM articles) UNION ALL SELECT 'clusters', CAST(0 AS BIGINT)")
-def orphan_audit(spark, d):
-    a = articles(spark, d)
-    return reports.orphans(_relations(spark, d, a), a)
-
-
 @query("c04_quality_checks", FULL + _SC + f""", p AS (SELECT a.* FROM articles a JOIN sample s ON s.record_id = a.record_id), c AS (
 SELECT 'duplicate_record_ids' AS "check", 'Critical' AS severity, count(*) - count(DISTINCT record_id) AS n FROM articles UNION ALL
 SELECT 'orphan_rows', 'Critical', count(*) FROM labels l WHERE 'DOC-EN-' || printf('%06d', l.doc_id) NOT IN (SELECT record_id FROM articles) UNION ALL
@@ -232,12 +226,6 @@ def translation_upsert(spark, d):
     return tables.upsert_preserving(old, tables.translation_queue(a, s).select("record_id", "body_sha256"), "record_id", ["body_sha256"], ["provider"])
 
 
-@query("k06_queue_retain", FULL + "SELECT record_id, story_id FROM articles WHERE doc_id % 2 = 0 AND record_id IN (SELECT record_id FROM sample)")
-def queue_retain(spark, d):
-    a, s = _both(spark, d)
-    return tables.retain_members(a.where("doc_id % 2 = 0").select("record_id", "story_id"), s, "record_id")
-
-
 @query("k09_article_export", with_(ARTICLES) + "SELECT record_id, source_code, language, title_original, published_at, evidence_grade, array_to_string(topic_labels, '|') AS topic_labels, content_origin FROM articles")
 def article_export(spark, d):
     return articles(spark, d).select("record_id", "source_code", "language", "title_original", "published_at", "evidence_grade", F.array_join("topic_labels", "|").alias("topic_labels"), "content_origin")

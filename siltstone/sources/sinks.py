@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import dates, screen
+from . import versions
 
 
 def export_json(articles: DataFrame, path: str) -> None:
@@ -16,9 +17,10 @@ def export_json(articles: DataFrame, path: str) -> None:
 
 
 def export_csv(articles: DataFrame, path: str) -> None:
-    """Sixteen fields, labels joined by a bar."""
+    """Sixteen fields, labels joined by a bar; a byte order mark before the header of each file tells that it is UTF-8."""
     have = [c for c in schemas.EXPORT_FIELDS if c in articles.columns]
     rows = articles.orderBy("published_at", "source_code", "record_id").select(*[F.array_join(c, "|").alias(c) if c == "topic_labels" else F.col(c) for c in have])
+    rows = rows.withColumnRenamed(have[0], "\ufeff" + have[0]) if have else rows
     rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
@@ -36,9 +38,9 @@ def export_records(articles: DataFrame, path: str) -> DataFrame:
     return articles.withColumn("body_file", F.when((F.coalesce("body_file", F.lit("")) == "") & (F.coalesce("body_original", F.lit("")) != ""), made).otherwise(F.col("body_file")))
 
 
-def rewrite_ledger(rows: DataFrame, path: str) -> None:
-    """A whole ledger in one commit: readers see the old or the new one."""
-    rows.write.mode("overwrite").json(path)
+def rewrite_ledger(rows: DataFrame, path: str) -> str:
+    """A whole ledger as a new version: readers of versions.read(..., "json") see the old or the new one, also after a crash."""
+    return versions.write(rows, path, kind="json")
 
 
 def append_failures(rows: DataFrame, path: str) -> None:
@@ -69,9 +71,12 @@ def manifest(parts: dict[str, DataFrame], notes: dict | None = None) -> str:
 
 
 def report(title: str, tables: dict[str, DataFrame], rows: int = 1000) -> str:
-    """Small aggregates as a Markdown page."""
+    """Small aggregates as a Markdown page. A table of more than `rows` rows is an error: a page is no export."""
     out = [f"# {title}"]
     for name, df in tables.items():
         out += [f"\n## {name}\n", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect()]
+        found = df.limit(rows + 1).collect()
+        if len(found) > rows:
+            raise ValueError(f"{name} has more than {rows} rows")
+        out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found]
     return "\n".join(out) + "\n"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vocab
 from ..operators.tables import upsert
+from ..sources import versions
 
 
 def look_back(rows: DataFrame, at: str, as_of: DataFrame, days: int = 30) -> DataFrame:
@@ -24,39 +28,59 @@ def streamed_cells(stream: DataFrame, at: str, by: list[str], late: str = "30 da
 
 
 def once(stream: DataFrame, key: list[str], at: str, late: str = "30 days") -> DataFrame:
-    """Each key once within the watermark: a resumable ledger's terminal rows."""
+    """Each key once within the watermark; keys older than that are forgotten. For a ledger that never forgets: ledger_sink()."""
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
-def upsert_sink(path: str, key: list[str], order: str):
-    """A foreachBatch function that upserts into a Parquet table, alternating between two folders.
+def ledger_sink(path: str, key: list[str], order: str, status: str = "status", terminal: tuple[str, ...] = vocab.LEDGER_TERMINAL, query: str = ""):
+    """A foreachBatch function that keeps a resumable ledger: a key in a terminal status is never changed again.
 
-    A marker file names the current folder; it changes only after the new one is written, so a failed batch leaves
-    the old table whole and a repeated batch gives the same table.
+    Any other status is replaced by the latest of later batches. Versions and restarts are those of upsert_sink().
     """
+    query = query or uuid.uuid4().hex
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        marker = f"{path}/_current"
+        done = versions.newest(spark, path, query)
+        if done is not None and int(done["batch"]) >= batch_id:
+            return
         current = latest(spark, path)
-        merged = upsert(current, batch, key, order) if current is not None else upsert(batch.limit(0), batch, key, order)
-        target = f"{path}/v{batch_id % 2}"
-        if current is not None and _current(spark, path) == target:
-            return  # this batch was written before
-        merged.write.mode("overwrite").parquet(target)
-        spark.createDataFrame([(target,)], "folder string").coalesce(1).write.mode("overwrite").text(marker)
+        if current is None:
+            current = batch.limit(0)
+        ended = F.col(status).isin(*terminal)
+        # Within a batch the first terminal row of a key counts, else the last row.
+        rank = F.struct(F.when(ended, 1).otherwise(0), F.when(ended, -F.col(order).cast("timestamp").cast("double")).otherwise(F.col(order).cast("timestamp").cast("double")))
+        new = batch.groupBy(*key).agg(F.max_by(F.struct(*batch.columns), rank).alias("__row")).select("__row.*")
+        kept = current.where(F.coalesce(ended, F.lit(False)))
+        rest = current.where(~F.coalesce(ended, F.lit(False)))
+        merged = kept.unionByName(new.join(kept.select(*key), key, "left_anti")).unionByName(rest.join(new.select(*key), key, "left_anti"))
+        versions.write(merged, path, query, batch_id)
 
     return write
 
 
-def _current(spark, path: str) -> str | None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current/_SUCCESS")
-    if not jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(jpath):
-        return None
-    return spark.read.text(f"{path}/_current").first()[0]
+def upsert_sink(path: str, key: list[str], order: str, query: str = ""):
+    """A foreachBatch function that upserts into a versioned Parquet table (see sources.versions).
+
+    A version's marker names the stream and batch that made it. A batch that the newest version of its stream already
+    holds is skipped; query names the stream, so that a stream started anew, with batches from 0 again, says another
+    name (by default one for each call) and loses nothing. A crash at any point leaves the last whole version.
+    """
+    query = query or uuid.uuid4().hex
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done = versions.newest(spark, path, query)
+        if done is not None and int(done["batch"]) >= batch_id:
+            return
+        current = latest(spark, path)
+        merged = upsert(current if current is not None else batch.limit(0), batch, key, order)
+        versions.write(merged, path, query, batch_id)
+
+    return write
 
 
 def latest(spark, path: str) -> DataFrame | None:
     """The table an upsert sink has written last, if any."""
-    folder = _current(spark, path)
-    return spark.read.parquet(folder) if folder else None
+    found = versions.newest(spark, path)
+    return spark.read.parquet(found["folder"]) if found else None

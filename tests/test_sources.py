@@ -189,10 +189,34 @@ def test_old_pages_and_issues():
     assert extract.pdf_link('<a href="/f/x.PDF">p</a>', "http://h/") == "http://h/f/x.PDF"
 
 
-def test_listing_refs(spark):
-    page = '<a href="d.php?p_id=5">ຈີນ one</a> 3/4/2021 <a href="d.php?p_id=6">other</a><a href="d.php?p_id=5">ຈີນ two</a> <b>5/6/2021</b>'
-    got = spark.createDataFrame([(page,)], "h string").select(extract.listing_refs(F.col("h")).alias("r")).first()["r"]
-    assert [(r["p_id"], r["title"]) for r in got] == [(5, "ຈີນ one")] or [(r["p_id"], r["title"]) for r in got] == [(5, "ຈີນ two")]
+def test_listing_refs():
+    url = "http://p.org.la/showlistcooperation.php"
+    link = lambda n, t: f'<a href="pasaxon-detail.php?p_id={n}&amp;act=cooperation-detail">{t}</a>'
+    page = link(5, "ລາວ-ຈີນ one") + "<p>3/4/2021 08:00:00</p>" + link(6, "other") + "<p>2021-05-01</p>" + link(5, "ຈີນ two") + " <b>2022-06-05 09:00</b>"
+    got = extract.listing_refs(page, url)
+    assert [(r["p_id"], r["title"], r["published_at"], r["action"]) for r in got] == [(5, "ຈີນ two", "2022-06-05", "cooperation-detail")]
+    assert got[0]["original_url"] == "http://p.org.la/pasaxon-detail.php?p_id=5&act=cooperation-detail"
+    for bad in (link(1, "ຈີນ"), link(1, "ຈີນ") + "31/03/2020", link(1, "ອິນໂດຈີນ") + "31/03/2021", '<a href="d.php?p_id=5">ຈີນ</a> 3/4/2021', link(1, "ຈີນ") + "x" * 700 + "31/03/2021"):
+        assert extract.listing_refs(bad, url) == []
+
+
+def test_headlines_of_direct_articles():
+    lead = "ສອງປະເທດສືບຕໍ່ພັດທະນາການພົວພັນ ແລະ ການຮ່ວມມືຮອບດ້ານໃຫ້ເຂັ້ມແຂງຂຶ້ນຕື່ມອີກ"
+    page = lambda *lines: "".join(f"<p>{x}</p>" for x in lines)
+    title = lambda p: (lambda a: (a["title"], a["body"], a["error"]))(extract.direct_article(p, "2012-11-01", None))
+    assert title(page("<b>ລາວ-ຈີນ ຮ່ວມມື</b>", lead)) == ("ລາວ-ຈີນ ຮ່ວມມື", lead, None)
+    assert title(page("ໜ້າຫຼັກ", "ສະໝັກ ສະມາຊິກ", "ຫົວຂໍ້ຂ່າວ", "12/8/2018 10:00", lead, "ລິຂະສິດ 2018")) == ("ຫົວຂໍ້ຂ່າວ", lead, None)
+    assert title(page("<h1>ໜັງສືພິມ</h1>", "ຫົວຂໍ້ຂ່າວ", "12.8.2018", lead)) == ("ຫົວຂໍ້ຂ່າວ", lead, None)
+    assert title(page("x", "ຫົວຂໍ້ ຂ່າວ", "ໃນ" + lead)) == ("ຫົວຂໍ້ ຂ່າວ", "ໃນ" + lead, None)
+    assert extract.direct_article(page("ຫົວຂໍ້ຂ່າວ", "5/6/2019", lead), None, "2019-07")["error"] == "date conflicts with address"
+
+
+def test_listing_kinds(spark):
+    from siltstone.operators import queues
+
+    addresses = ["http://p.org.la/showlistcooperation.php", "http://p.org.la/ShowListEconomic.php?x=1", "http://p.org.la/", "http://p.org.la", "http://p.org.la/showlistnotice_detail.php?p_id=1", None]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(addresses)], "i int, u string").withColumn("k", queues.listing_kind(F.col("u")))
+    assert [r["k"] and tuple(r["k"]) for r in rows.orderBy("i").collect()] == [("/showlistcooperation.php", 0), ("/showlisteconomic.php", 1), ("/index.php", 7), ("/index.php", 7), None, None]
 
 
 def _staged(i, body="ເນື້ອໃນຂ່າວ ຈີນ", **more):
@@ -274,6 +298,35 @@ def test_streams(spark, tmp_path):
     assert spark.sql("SELECT sum(n) FROM cells").first()[0] == 4
 
 
+def test_versions_survive_restarts_and_crashes(spark, tmp_path):
+    from siltstone.sources import versions
+
+    path, schema = str(tmp_path / "t"), "k int, v string, at timestamp"
+    rows = lambda k, v: spark.createDataFrame([(k, v)], "k int, v string").withColumn("at", F.current_timestamp())
+    held = lambda: {r["k"]: r["v"] for r in incremental.latest(spark, path).collect()}
+    incremental.upsert_sink(path, ["k"], "at", "one")(rows(1, "a"), 0)
+    incremental.upsert_sink(path, ["k"], "at", "one")(rows(1, "again"), 0)  # the same batch after a restart
+    assert held() == {1: "a"}
+    incremental.upsert_sink(path, ["k"], "at", "two")(rows(2, "b"), 0)  # a stream with a new checkpoint
+    assert held() == {1: "a", 2: "b"}
+    rows(9, "lost").write.parquet(f"{path}/v-crashed")  # written, but the writer died before its marker
+    assert held() == {1: "a", 2: "b"} and versions.read(spark, path, schema).count() == 2
+    for i in range(1, 4):
+        incremental.upsert_sink(path, ["k"], "at", "two")(rows(i, "c"), i)
+    incremental.upsert_sink(path, ["k"], "at", "one")(rows(1, "old"), 0)  # its marker outlives its folder
+    assert held() == {1: "c", 2: "c", 3: "c"}
+
+
+def test_ledger_never_leaves_a_terminal_status(spark, tmp_path):
+    path = str(tmp_path / "l")
+    write = incremental.ledger_sink(path, ["k"], "at", query="q")
+    batch = lambda *r: spark.createDataFrame(r, "k int, status string, at string").withColumn("at", F.to_timestamp("at"))
+    write(batch((1, "pending", "2024-01-01"), (2, "china_match", "2024-01-01")), 0)
+    write(batch((1, "not_china", "2024-03-01"), (2, "pending", "2030-01-01"), (3, "pending", "2024-01-01")), 1)
+    write(batch((1, "china_match", "2031-01-01"), (3, "retry", "2024-02-01")), 2)
+    assert {r["k"]: r["status"] for r in incremental.latest(spark, path).collect()} == {1: "not_china", 2: "china_match", 3: "retry"}
+
+
 def test_exports(spark, tmp_path):
     a = spark.createDataFrame([("R1", "kpl_lao", "t", "b", "2014-05-01", None, ["x", "y"], "A1", "u")], "record_id string, source_code string, title_original string, body_original string, published_at string, body_file string, topic_labels array<string>, evidence_grade string, original_url string")
     filled = sinks.export_records(a, str(tmp_path / "r")).first()
