@@ -63,7 +63,7 @@ SENTENCES = {
     "unlicense-1": "this is free and unencumbered software released into the public domain",
     "unlicense-2": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
     "zlib-1": "this software is provided as is without any express or implied warranty",
-    "zlib-2": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1",
+    "zlib-2": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "boost-1": "distributed under the boost software license version 1 0",
     "wtfpl-1": "this program is free software it comes without any warranty to the extent permitted by applicable law",
     "wtfpl-2": "you can redistribute it and or modify it under the terms of the do what the fuck you want to public license version 2 as published by sam hocevar",
@@ -213,7 +213,7 @@ SLOTS = [
 #: Every known sentence, name and tag holds one of these.
 CUES = ("licens", "copyright", "warrant", "permission", "redistribut", "rights reserved", "public domain", "free software", "without permission", "neither the name", "the author", "apache", "mpl", "rights to", "gnu", "advertising", "anyone is free")
 #: Before the cuts: stops after "v" and list numbers go, comment marks too, and an address or condition joins the line that leads to it.
-SMOOTH = [(r"[#*/;%|]+[ \t]", " "), (r"(^|\s)(v|[0-9])\.(\s)", "$1$2$3"), (r"\n\s*\n(\s*(?:https?:|you may not|unless))", " $1")]
+SMOOTH = [(r"[#*/;%|]+[ \t]", " "), (r"(^|\n[ \t]*)([0-9])\.(\s)", "$1$2$3"), (r"(^|\s)v\.(\s)", "$1v$2"), (r"\n\s*\n(\s*(?:https?:|you may not|unless))", " $1")]
 AT_LINES, ACROSS_LINES = r"[.!?]+[\"')]*\s+|\n+", r"[.!?]+[\"')]*\s+|\n\s*\n"
 TAG = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
 

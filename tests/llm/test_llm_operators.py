@@ -524,6 +524,7 @@ NOTICES = [
     (MIT, "MIT"),
     (ISC, "ISC"),
     (MPL, "MPL-2.0"),
+    ("This software is provided 'as-is', without any express or implied\nwarranty.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented.", "Zlib"),
     ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.", "Unlicense"),
     ("To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to Her Work.", "CC0-1.0"),
     ("This package may be used under the terms of the MIT license.", "MIT"),
