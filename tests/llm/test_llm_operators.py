@@ -393,6 +393,48 @@ def test_chat_escape_is_exact_and_layouts_map(spark):
     assert got == {0: [("user", "p"), ("assistant", "c")], 1: [("user", "i\n\nn"), ("assistant", "o")], 2: [("user", "h"), ("assistant", "g")], 3: None, 4: None, 5: None, 6: [("user", "")], 7: None}
 
 
+def test_chat_layouts_stand_extra_and_mixed_fields(spark):
+    records = {
+        1: '{"id":7,"prompt":"p","completion":"c","meta":{"score":1.5,"tags":["a"]}}',
+        2: '{"source":"s","messages":[{"role":"user","content":"a","name":"n"},{"content":"b"}]}',
+        3: '{"messages":[{"role":"user","content":"a"},{"role":"user","content":3}]}',  # a content that is no text
+        4: '{"messages":[{"role":"user","content":"a"},{"role":"user","content":[{"text":"x"}]}]}',
+        5: '{"messages[].role":"user","messages[].content":"a"}',  # keys that look like paths
+        6: '{"messages":[]}',
+        7: '{"prompt":"p","completion":"c","question":"q"}',  # two layouts at once
+        8: "[" * 100_000,
+        9: '{"user":"u","system":null,"prompt":"p","response":""}',
+        10: '{"chosen":"yes","asked":"no"}',
+        11: "{}",
+    }
+    df = spark.createDataFrame(list(records.items()), "k long, record string").withColumns({c: F.lit(1) for c in ("turns", "layout", "fingerprint")})
+    mine = chat_format.Layout("chosen", (("user", ("asked",)), ("assistant", ("chosen",))))
+    rows = {r["k"]: r for r in chat_format.canonical_turns(df, "k", layouts=[mine]).collect()}
+    got = {k: r["turns"] and [tuple(t) for t in r["turns"]] for k, r in rows.items()}
+    assert got == {1: [("user", "p"), ("assistant", "c")], 2: [("user", "a"), ("", "b")], 3: None, 4: None, 5: None, 6: [], 7: None, 8: None, 9: [("user", "p"), ("assistant", "")], 10: [("user", "no"), ("assistant", "yes")], 11: None}
+    assert {k for k, r in rows.items() if r["fingerprint"] is None} == {8} and rows[1]["fingerprint"] != rows[10]["fingerprint"]
+    assert rows[1]["layout"] == "completion" and rows[6]["layout"] == "messages" and rows[7]["layout"] is None
+
+
+def test_chat_records_of_every_layout_are_lossless(spark):
+    rng = random.Random(9)
+    texts = ["a", "b\n\nc", "\n\n", "x\n\n\ny\n\nz", "", None, "</s>\\", "é\u2028\x00\"", "long " * 40_000]
+    shapes = [["user", "assistant"], ["system", "user", "assistant"], ["user", "gpt"], ["human"], ["assistant"], [None, "", "a\nb"], ["user"] * 5]
+    rows = [(i, t, r, rng.choice(texts)) for i in range(400) for t, r in enumerate(rng.choice(shapes))] + [(None, 0, "user", "n"), (None, 1, "assistant", "n"), (-5, None, None, None), (-6, 1, "user", "same"), (-6, 1, "user", "same")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("t", "record", "turns", "layout", "__turns")})
+    made = chat_format.canonical_turns(chat_format.records_of_rows(df), "conv_id")
+    got = {r["conv_id"]: (r["layout"], [tuple(t) for t in r["turns"]]) for r in made.collect()}
+    want: dict = {}
+    for c, t, r, x in rows:
+        want.setdefault(c, []).append((r or "", x or ""))
+    assert {c: ts for c, (_, ts) in got.items()} == want
+    assert {x for x, _ in got.values()} == {x.name for x in chat_format.LAYOUTS}
+    formatted = chat_format.format_chats(made, "conv_id")
+    digests = chat_format.chat_digest(formatted, "conv_id").collect()
+    assert {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in digests} == {c: (len(ts), sum(len(x) for r, x in ts if r == "assistant")) for c, ts in want.items()}
+    assert chat_format.chat_digest(chat_format.format_chats(chat_format.canonical_turns(chat_format.records_of_rows(df.limit(0)), "conv_id"), "conv_id"), "conv_id").count() == 0
+
+
 def test_chat_query_matches_brute_force(spark):
     got = {r["conv_id"]: r for r in llm.op4_chat_formatting(spark, "/root/testdata/sf0.001").collect()}
     turns: dict = {-1: [("user", llm.CONTROL_TURN), ("assistant", llm.CONTROL_TURN)]}
