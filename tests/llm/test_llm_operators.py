@@ -378,6 +378,19 @@ def test_gif_frame_rows(spark):
     assert [r[:3] for r in rows if r[3] is None] == [(1, 0, 512), (1, 1, 88)] and {r[0] for r in rows if r[3]} == {3, 4}
 
 
+def test_gif_query_columns_against_brute_force(spark):
+    df = awkward(spark)
+    got = {}
+    for r in media_gif.media_digest(media_gif.sample_media(df)).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]))
+    want = {}
+    for r in df.select("doc_id", "text").collect():
+        raw = (r["text"] or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        want.setdefault(r["doc_id"], []).append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_chat_escape_is_exact_and_layouts_map(spark):
     rng = random.Random(6)
     bits = ["<", "[", "s>", "/s>", "INST]", "/INST]", "\\", "<SYS>>", "a", "\n", ">", "</SYS>>", "é"]
@@ -698,6 +711,25 @@ def test_pipeline_stages_keep_columns_and_decide(spark, tmp_path):
     assert {r["doc_id"] for r in pipeline.run(spark, d).collect()} == set(after)
 
 
+def test_pipeline_stages_on_awkward_and_empty_tables(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    df = awkward(spark)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, df, d)
+        rows = out.collect()
+        if name == "packing":
+            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in df.select("doc_id").collect()}
+        else:
+            assert out.columns == df.columns
+            ids = {r["doc_id"] for r in rows}
+            if name == "simhash_near_dedup":
+                assert {1, 3} <= ids and not ids & {2, 4, 6}  # 2 and 6 have no words either, 4 copies 3
+            else:
+                assert ids == {r["doc_id"] for r in df.select("doc_id").collect()}
+        assert stage(spark, df.limit(0), d).count() == 0
+
+
 def test_maximal_repeats_list_all_occurrences(spark):
     from siltstone.llm.repeats import keyed, originals
 
