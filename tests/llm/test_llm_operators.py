@@ -325,6 +325,36 @@ def test_decontamination_finds_copies_and_changed_values(spark):
     assert {3, 4, 5} <= left and not {0, 1, 2} & left
 
 
+def test_decontamination_of_plain_words_against_brute_force(spark):
+    rng = random.Random(21)
+    vocab = [c + v + d for c in "bdfgkl" for v in "aeiou" for d in ("n", "r", "sk")]
+    line = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = {i: line(rng.choice((3, 5, 6, 7, 8, 9, 14, 30))) for i in range(40)}
+    texts = {}
+    for d in range(300):
+        words = line(rng.randrange(0, 40))
+        for _ in range(rng.randrange(0, 3)):
+            item = rng.choice(items)
+            a = rng.randrange(len(item))
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = item[a : a + rng.randrange(1, 31)] if rng.random() < 0.6 else item
+        texts[d] = words
+    want = {}
+    for i, item in items.items():
+        w = min(8, len(item))
+        for d, words in texts.items():
+            have = {tuple(words[k : k + w]) for k in range(len(words) - w + 1)}
+            places = [k for k in range(len(item) - w + 1) if len(item) >= 5 and tuple(item[k : k + w]) in have]
+            cover = len({x for k in places for x in range(k, k + w)}) / len(item)
+            if cover >= 0.4:
+                want[d, i] = (len(places), round(cover, 9), 0.0, "verbatim")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    found = decontam.hits(docs(spark, [" ".join(x) for x in texts.values()], list(texts)), bench).collect()
+    assert len(want) > 50 and len(found) == len(want)
+    assert {(r["doc_id"], r["item_id"]): (r["n_windows"], round(r["plain_cover"], 9), r["template_cover"], r["kind"]) for r in found} == want
+    assert decontam.hits(docs(spark, ["a b c d e"]), bench.limit(0)).count() == 0
+
+
 def test_decontamination_both_ways_agree(spark, monkeypatch):
     d, b = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     key = lambda df: sorted(map(tuple, df.select("doc_id", "item_id", "n_windows").collect()))
