@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, screen, vocab
+from .shared import written
 
 
-def has_body() -> Column:
+def has_body(articles: DataFrame) -> Column:
+    """Whether there is a body in the row or in a file. A table that knows it in a column with_body needn't carry texts."""
+    if "with_body" in articles.columns:
+        return F.col("with_body")
     return (F.coalesce("body_original", F.lit("")) != "") | (F.coalesce("body_file", F.lit("")) != "")
 
 
@@ -24,13 +28,13 @@ def scored(articles: DataFrame) -> DataFrame:
     score = (
         F.coalesce(F.try_element_at(grade, F.col("evidence_grade")), F.lit(vocab.OTHER_GRADE_SCORE)).cast("double")
         + F.when(bilateral, 45).otherwise(0)
-        + F.when(has_body(), 20).otherwise(0)
+        + F.when(has_body(articles), 20).otherwise(0)
         + F.when(F.col("content_origin").isin(*vocab.LOCAL), 12).otherwise(0)
         - F.when(synd, 8).otherwise(0)
         + F.least(F.length(F.coalesce("title_original", F.lit(""))), F.lit(80)) / F.lit(1000.0)
     )
     ok = screen.formal(F.col("evidence_grade"), F.col("metadata"))
-    return articles.withColumns({"score": score, "syndicated": synd, "with_body": has_body(), "eligible": ok, "family": screen.family(F.col("source_code")), "year_month": dates.year_month(F.col("published_at"))})
+    return articles.withColumns({"score": score, "syndicated": synd, "with_body": has_body(articles), "eligible": ok, "family": screen.family(F.col("source_code")), "year_month": dates.year_month(F.col("published_at"))})
 
 
 def best_versions(articles: DataFrame, first: str = vocab.SNAPSHOT_START, last: str = vocab.SNAPSHOT_END) -> DataFrame:
@@ -57,34 +61,60 @@ def monthly_sample(articles: DataFrame, target: int = vocab.TARGET, require_body
     kind = Window.partitionBy("family", "year_month", "syndicated").orderBy(F.desc("score"), "record_id")
     rows = rows.withColumn("k", F.row_number().over(kind)).where(F.col("k") <= target)
     group = Window.partitionBy("family", "year_month")
-    ranked = rows.withColumn("r", F.row_number().over(group.orderBy(F.desc("score"), "record_id")))
-    counted = ranked.withColumn("sr", F.sum(F.col("syndicated").cast("int")).over(group.orderBy("r")))
+    places = rows.withColumn("r", F.row_number().over(group.orderBy(F.desc("score"), "record_id")))
+    counted = places.withColumn("sr", F.sum(F.col("syndicated").cast("int")).over(group.orderBy("r")))
     later = F.when(F.col("syndicated") & (F.col("sr") > cap), 1).otherwise(0)
     chosen = counted.withColumn("selection_rank", F.row_number().over(group.orderBy(later, "r"))).where(F.col("selection_rank") <= target)
     reason = F.when(F.col("syndicated") & (F.col("selection_rank") > cap), "syndicated_fallback_insufficient_local").otherwise("deterministic_priority")
     return chosen.select("story_id", "record_id", F.col("family").alias("source_code"), "year_month", "selection_rank", "score", reason.alias("quota_reason"))
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the columns of right's row of the same keys; nulls are equal."""
+    other = right.select(*[F.col(k).alias(f"__{k}__") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on &= left[k].eqNullSafe(other[f"__{k}__"])
+    return left.join(other, on).drop(*[f"__{k}__" for k in keys])
+
+
+def ranked(rows: DataFrame, group: list[str], order: list, out: str) -> DataFrame:
+    """rows with their place within the group, from 1, as row_number() gives it, for groups of any size; out may not be a column yet.
+
+    A global sort deals group and order by range, so a crowded group lies in many tasks; places are counted within a
+    task, and the rows that earlier tasks hold of the group are added: a table of at most groups + tasks rows. The
+    sorted rows are written once, so give narrow ones. order should be total; ties go as the sort leaves them.
+    """
+    at = written(rows.orderBy(*group, *order).withColumn("__at", F.monotonically_increasing_id()), "ranked").withColumn("__task", F.shiftright("__at", 33))
+    runs = at.groupBy(*group, "__task").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    earlier = F.sum("__n").over(Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+    shift = runs.select(*group, "__task", (F.coalesce(earlier, F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    return _null_safe(at, shift, [*group, "__task"]).withColumn(out, F.col("__at") + F.col("__shift")).drop("__at", "__task", "__shift")
+
+
 def interleave(rows: DataFrame, group: list[str], order: list, groups_order: list | None = None) -> DataFrame:
     """Breadth first over groups: depth within the group, then the groups' order; adds depth and queue_pos.
 
-    No task sees the whole queue: places within a depth are counted by depth, and the rows of smaller depths come from
-    a histogram of depths.
+    No task sees the whole queue or a whole group: depths come from ranked(), places within a depth are counted by
+    depth, which holds a row a group, and the rows of smaller depths come from a histogram of depths in blocks.
     """
-    deep = rows.withColumn("depth", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    deep = ranked(rows, group, order, "depth")
     sizes = deep.groupBy("depth").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("depth", F.coalesce(F.sum("__n").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    before = running_before(sizes, "__n", "depth", "__before").select("depth", "__before")
     place = F.row_number().over(Window.partitionBy("depth").orderBy(*(groups_order or group)))
     return deep.join(before, "depth").withColumn("queue_pos", F.col("__before") + place).drop("__before")
 
 
-def running_before(rows: DataFrame, value: str, position: str, out: str, block: int = 1 << 16) -> DataFrame:
-    """rows with the sum of value over all smaller positions: within blocks of positions, and over the blocks' sums."""
+def running_before(rows: DataFrame, value: str, position: str, out: str, block: int = 1 << 16, by: list[str] | None = None) -> DataFrame:
+    """rows with the sum of value over all smaller positions (of its group): within blocks of positions, and over the blocks' sums."""
+    keys = [*(by or []), "__b"]
     blocked = rows.withColumn("__b", F.floor(F.col(position) / block))
-    inner = Window.partitionBy("__b").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocked.groupBy("__b").agg(F.sum(value).alias("__s"))
-    before = sums.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    return blocked.withColumn("__i", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(before, "__b").withColumn(out, F.col("__i") + F.col("__o")).drop("__b", "__i", "__o")
+    inner = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy(*keys).agg(F.sum(value).alias("__s"))
+    outer = (Window.partitionBy(*by).orderBy("__b") if by else Window.orderBy("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, F.coalesce(F.sum("__s").over(outer), F.lit(0)).alias("__o"))
+    own = blocked.withColumn("__i", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return _null_safe(own, before, keys).withColumn(out, F.col("__i") + F.col("__o")).drop("__b", "__i", "__o")
 
 
 def first_by(rows: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -102,8 +132,8 @@ def kth_nearest(leads: DataFrame, captures: DataFrame, on: str, k: int = 1) -> t
     leads: on, published_day; captures: on, capture_day, capture_id.
     """
     both = leads.join(captures, on).withColumn("distance", dates.capture_distance(F.col("capture_day"), F.col("published_day")))
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy(on).orderBy("distance", "capture_id")))
-    chosen = ranked.where(F.col("rank") == k)
+    near = both.withColumn("rank", F.row_number().over(Window.partitionBy(on).orderBy("distance", "capture_id")))
+    chosen = near.where(F.col("rank") == k)
     return chosen, leads.join(chosen, on, "left_anti")
 
 
@@ -112,11 +142,11 @@ def quota_scan(queue: DataFrame, quota: int, budget: int) -> DataFrame:
 
     queue: queue_pos, month, base (matches had before), match (what fetching the row would find). A row is fetched
     while the month has fewer than quota matches and fewer than budget rows before it were; the first row past the
-    budget and all after it are pending.
+    budget and all after it are pending. Neither a month nor the queue lies in one task.
     """
-    month = Window.partitionBy("month").orderBy("queue_pos").rowsBetween(Window.unboundedPreceding, -1)
-    prior = F.coalesce(F.sum(F.col("match").cast("int")).over(month), F.lit(0))
-    open_ = queue.withColumn("wanted", (F.col("base") + prior < quota).cast("int"))
+    # Each sum reads its rows twice, so queue and gates are written before they are summed.
+    had = running_before(written(queue.withColumn("__m", F.col("match").cast("int")), "scan-queue"), "__m", "queue_pos", "__prior", by=["month"])
+    open_ = written(had.withColumn("wanted", (F.col("base") + F.col("__prior") < quota).cast("int")).drop("__m", "__prior"), "scan-gates")
     spent = running_before(open_, "wanted", "queue_pos", "spent")
     # The budget ends the scan at the first wanted row after it is spent.
     stop = spent.where((F.col("wanted") == 1) & (F.col("spent") >= budget)).agg(F.min("queue_pos").alias("stop"))
@@ -143,6 +173,6 @@ def reconcile(rows: DataFrame, known_urls: DataFrame, known_hashes: DataFrame, b
     """
     marked = rows.join(known_urls.select("url", F.lit(True).alias("ku")).distinct(), "url", "left").join(known_hashes.select("sha", F.lit(True).alias("ks")).distinct(), "sha", "left")
     dup = F.coalesce("ku", F.lit(False)) | F.coalesce("ks", F.lit(False))
-    ranked = marked.withColumn("dup", dup).join(base, "month", "left").withColumn("place", F.row_number().over(Window.partitionBy("month", "dup").orderBy("published_at", "url")))
+    placed = ranked(marked.withColumn("dup", dup), ["month", "dup"], ["published_at", "url"], "place").join(base, "month", "left")
     out = F.when(F.col("dup"), "already_in_current_database").when(F.coalesce("n", F.lit(0)) + F.col("place") > quota, "current_month_quota_met").otherwise("kept")
-    return ranked.withColumn("disposition", out).drop("ku", "ks", "dup", "n", "place")
+    return placed.withColumn("disposition", out).drop("ku", "ks", "dup", "n", "place")

@@ -18,8 +18,10 @@ def dated(articles: DataFrame) -> DataFrame:
     return articles.withColumns({"family": screen.family(F.col("source_code")), "year_month": dates.year_month(F.col("published_at")), "year": F.substring("published_at", 1, 4)})
 
 
-def full_text() -> Column:
-    """Reports count a body only if it isn't blank, unlike the sampler, which takes any."""
+def full_text(articles: DataFrame) -> Column:
+    """Reports count a body only if it isn't blank, unlike the sampler, which takes any. A column with_text says so without texts."""
+    if "with_text" in articles.columns:
+        return F.col("with_text")
     return F.coalesce(F.trim("body_original"), F.lit("")) != ""
 
 
@@ -27,7 +29,7 @@ def cells(articles: DataFrame) -> DataFrame:
     """Distinct stories of each family and month: discovered, eligible, and eligible with a body."""
     ok = screen.formal(F.col("evidence_grade"), F.col("metadata"))
     rows = dated(articles).where(F.col("published_at").isNotNull() & F.col("story_id").isNotNull())
-    return rows.groupBy("family", "year_month").agg(F.countDistinct("story_id").alias("candidates"), F.countDistinct(F.when(ok, F.col("story_id"))).alias("eligible"), F.countDistinct(F.when(ok & has_body(), F.col("story_id"))).alias("qualified"))
+    return rows.groupBy("family", "year_month").agg(F.countDistinct("story_id").alias("candidates"), F.countDistinct(F.when(ok, F.col("story_id"))).alias("eligible"), F.countDistinct(F.when(ok & has_body(articles), F.col("story_id"))).alias("qualified"))
 
 
 def sample_cells(sample: DataFrame) -> DataFrame:
@@ -65,8 +67,8 @@ def backfill_queue(articles: DataFrame, partitions: DataFrame | None = None) ->
     )
 
 
-def _measures() -> list[Column]:
-    body = full_text()
+def _measures(articles: DataFrame) -> list[Column]:
+    body = full_text(articles)
     grades = [F.count_if(F.col("evidence_grade") == g).alias(g.lower()) for g in vocab.GRADES]
     return [F.count(F.lit(1)).alias("records"), F.count_if(body).alias("bodies"), F.countDistinct("year_month").alias("candidate_months"), F.countDistinct(F.when(body, F.col("year_month"))).alias("body_months"), *grades, F.min(dates.day(F.col("published_at"))).alias("first_date"), F.max(dates.day(F.col("published_at"))).alias("last_date")]
 
@@ -74,18 +76,18 @@ def _measures() -> list[Column]:
 def source_year_inventory(articles: DataFrame, sample: DataFrame) -> DataFrame:
     rows = dated(articles).where("published_at IS NOT NULL")
     picked = rows.join(sample.select("record_id"), "record_id").groupBy("source_code", "year").agg(F.count(F.lit(1)).alias("selected"))
-    return rows.groupBy("family", "source_code", "year").agg(*_measures()).join(picked, ["source_code", "year"], "left").fillna(0, ["selected"]).withColumnRenamed("family", "source_family")
+    return rows.groupBy("family", "source_code", "year").agg(*_measures(articles)).join(picked, ["source_code", "year"], "left").fillna(0, ["selected"]).withColumnRenamed("family", "source_family")
 
 
 def family_year_inventory(articles: DataFrame, sample: DataFrame) -> DataFrame:
     """Months are counted anew at the family's grain: its sources overlap."""
     rows = dated(articles).where("published_at IS NOT NULL")
     picked = rows.join(sample.select("record_id"), "record_id").groupBy("family", "year").agg(F.count(F.lit(1)).alias("selected"))
-    return rows.groupBy("family", "year").agg(*_measures()).join(picked, ["family", "year"], "left").fillna(0, ["selected"]).withColumnRenamed("family", "source_family")
+    return rows.groupBy("family", "year").agg(*_measures(articles)).join(picked, ["family", "year"], "left").fillna(0, ["selected"]).withColumnRenamed("family", "source_family")
 
 
 def family_totals(articles: DataFrame) -> DataFrame:
-    body = full_text()
+    body = full_text(articles)
     return dated(articles).groupBy("family").agg(F.count(F.lit(1)).alias("records"), F.count_if(body).alias("bodies"), F.countDistinct(F.when(body, F.col("year_month"))).alias("body_months"), F.min(dates.day(F.col("published_at"))).alias("first_date"), F.max(dates.day(F.col("published_at"))).alias("last_date"))
 
 
@@ -100,7 +102,7 @@ def historical_coverage(sample: DataFrame, first: str = "2012-01-01", last: str
 
 def yearly_status(articles: DataFrame, sample: DataFrame, first: int = 2012, last: int = 2026) -> DataFrame:
     """A row for each family and year, zeros included."""
-    rows, body = dated(articles).where("published_at IS NOT NULL"), full_text()
+    rows, body = dated(articles).where("published_at IS NOT NULL"), full_text(articles)
     facts = rows.groupBy(F.col("family").alias("source"), "year").agg(F.count(F.lit(1)).alias("records"), F.count_if(body).alias("bodies"), F.countDistinct(F.when(body, F.col("year_month"))).alias("body_months"), *[F.count_if(F.col("evidence_grade") == g).alias(g.lower()) for g in ("A1", "A2", "B1")])
     picked = sample.groupBy(F.col("source_code").alias("source"), F.substring("year_month", 1, 4).alias("year")).agg(F.count(F.lit(1)).alias("selected"))
     years = articles.sparkSession.range(first, last + 1).select(F.col("id").cast("string").alias("year"), F.explode(F.array(*map(F.lit, vocab.FAMILIES))).alias("source"))
@@ -135,7 +137,7 @@ def quality_checks(articles: DataFrame, sample: DataFrame, relations: dict[str,
         F.count_if(blank("title_original") | blank("source_code") | blank("language")).alias("required_fields_missing"),
     )
     picked = articles.join(sample.select("record_id"), "record_id").agg(
-        F.count_if(~has_body()).alias("sample_missing_body"), F.count_if(empty("original_url") & empty("archive_url")).alias("sample_missing_url"), F.count_if(blank("china_note_zh")).alias("sample_missing_note")
+        F.count_if(~has_body(articles)).alias("sample_missing_body"), F.count_if(empty("original_url") & empty("archive_url")).alias("sample_missing_url"), F.count_if(blank("china_note_zh")).alias("sample_missing_note")
     )
     gaps = grid(articles.sparkSession).join(sample_cells(sample), ["family", "year_month"], "left").agg(F.count_if(F.coalesce("sampled", F.lit(0)) < vocab.MINIMUM).alias("coverage_gap_cells"))
     lost = orphans(relations, articles).agg(F.sum("n").alias("orphan_rows"))

@@ -14,7 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The articles table over documents and labels; see ARTICLES for the same in SQL."""
+    """The articles table over documents and labels; see ARTICLES for the same in SQL.
+
+    What reports and samplers ask of texts is derived below the join with labels, so no text is shuffled for them.
+    """
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     i = F.col("doc_id")
     s = F.regexp_extract("source", "(\\d+)", 1).cast("int")
@@ -24,7 +27,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.when(F.col("toxic") == 1, F.array(F.lit("bilateral"))).when(F.col("quality") == 1, F.array(F.lit("trade"))).otherwise(F.array().cast("array<string>"))
     meta = F.when(i % 7 == 0, '{"scope":"中老","second_corroboration":true}').when(i % 7 == 1, '{"second_corroboration":false}').otherwise("{}")
     body = F.when(i % 5 != 0, F.col("text"))
-    base = d.join(labels, "doc_id", "left").select(
+    flags = {"with_body": (F.coalesce("body_original", F.lit("")) != "") | (F.coalesce("body_file", F.lit("")) != ""), "with_text": F.coalesce(F.trim("body_original"), F.lit("")) != ""}
+    base = d.select(
         i.alias("doc_id"),
         F.concat(F.lit("DOC-"), F.upper("lang"), F.lit("-"), F.format_string("%06d", i)).alias("record_id"),
         code.alias("source_code"),
@@ -37,12 +41,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, GRADES)), (i % 6 + 1).cast("int")).alias("evidence_grade"),
         F.when(i % 13 == 0, "T9_OTHER").otherwise("T1_DIRECT_CHINA").alias("retrieval_tier"),
         F.element_at(F.array(*map(F.lit, ORIGINS)), (i % 4 + 1).cast("int")).alias("content_origin"),
-        tags.alias("topic_labels"),
         meta.alias("metadata"),
         F.when(i % 3 != 0, F.concat(F.lit("https://example.org/"), F.col("lang"), F.lit("/"), i.cast("string"))).alias("original_url"),
         F.when(i % 9 == 0, F.concat(F.lit("https://archive.example/"), i.cast("string"))).alias("archive_url"),
         F.when(i % 4 != 0, "note").alias("china_note_zh"),
     )
+    base = base.withColumns(flags).join(labels.select("doc_id", "toxic", "quality"), "doc_id", "left").withColumn("topic_labels", tags).drop("toxic", "quality")
     from ..operators.clustering import assign_story_ids
 
     return assign_story_ids(base)

@@ -36,14 +36,14 @@ _MONTH = "strftime(DATE '2020-01-01' + to_months(CAST(doc_id % 12 AS INT)), '%Y-
 
 @query("w06_interleave_queue", f"SELECT doc_id, depth, row_number() OVER (ORDER BY depth, month) AS queue_pos FROM (SELECT doc_id, {_MONTH} AS month, row_number() OVER (PARTITION BY {_MONTH} ORDER BY n_chars DESC, doc_id) AS depth FROM documents)")
 def interleave(spark, d):
-    rows = docs(spark, d).withColumn("month", _month(F.col("doc_id")))
+    rows = docs(spark, d).select("doc_id", "n_chars", _month(F.col("doc_id")).alias("month"))
     return ranking.interleave(rows, ["month"], [F.desc("n_chars"), "doc_id"]).select("doc_id", F.col("depth").cast("long").alias("depth"), F.col("queue_pos").cast("long").alias("queue_pos"))
 
 
 @query("w07_gap_first_queue", f"""WITH q AS (SELECT doc_id, {_MONTH} AS month FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY doc_id) AS depth, CASE WHEN month IN ('2020-03', '2020-07') THEN 0 ELSE 1 END AS g FROM q)
 SELECT doc_id, row_number() OVER (ORDER BY depth, g, month) AS queue_pos FROM r""")
 def gap_first(spark, d):
-    rows = docs(spark, d).join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").withColumn("month", _month(F.col("doc_id")))
+    rows = docs(spark, d).select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").withColumn("month", _month(F.col("doc_id")))
     rows = rows.withColumn("g", F.when(F.col("month").isin("2020-03", "2020-07"), 0).otherwise(1))
     return ranking.interleave(rows, ["month"], ["doc_id"], ["g", "month"]).select("doc_id", F.col("queue_pos").cast("long").alias("queue_pos"))
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import queues
+from ..operators.shared import folder as _folder
 from ..sources import planners, readers, sinks
 from ..streaming import incremental
 from .corpus_view import table
-from .storage_queries import _folder
 
 Q: dict = {}
 SQL: dict[str, str] = {}

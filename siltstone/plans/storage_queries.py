@@ -5,13 +5,12 @@ Each writes below the shared folder that the session names, under a name of its
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text, urls
 from ..operators import clustering, queues, ranking, reports, staging, tables
+from ..operators.shared import folder as _folder
 from ..sources import readers, sinks, versions
 from .corpus_view import ARTICLES, BEST, SAMPLE, SCORED, articles, table, with_
 
@@ -34,15 +33,6 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
-def _folder(spark, label: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, else the warehouse. It goes with the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(p)
-    return path
-
-
 _PATHS = ["ShowListCooperation.php", "showlisteconomic.php/", "showlistpolitic.php?p=1", "showlistnotice_detail.php?p_id=1", "", "index.php", "showlistfinance.php", "pasaxon-detail.php?p_id=2"]
 
 

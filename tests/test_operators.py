@@ -71,6 +71,27 @@ def test_interleave_is_breadth_first(spark):
     assert [(r["day"], r["slot"]) for r in got] == [("d1", 1), ("d2", 1), ("d1", 2)]
 
 
+def test_places_of_a_crowded_group_come_from_many_tasks(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "b"]), rng.choice([None, 1, 2, 3]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, id int").repartition(6)
+    order = [F.desc("v"), "id"]
+    want = {r["id"]: r["p"] for r in df.withColumn("p", F.row_number().over(Window.partitionBy("g").orderBy(*order))).collect()}
+    assert {r["id"]: r["p"] for r in ranking.ranked(df, ["g"], order, "p").collect()} == want
+    assert ranking.ranked(df.limit(0), ["g"], order, "p").collect() == []
+
+
+def test_running_sums_by_group(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["hot", "hot", None]), rng.choice([0, 1, None])) for i in range(1000)]
+    want, had = {}, {}
+    for i, g, v in rows:
+        want[i] = had.get(g, 0)
+        had[g] = had.get(g, 0) + (v or 0)
+    got = ranking.running_before(spark.createDataFrame(rows, "pos long, g string, v int"), "v", "pos", "s", block=64, by=["g"])
+    assert {r["pos"]: r["s"] for r in got.collect()} == want
+
+
 def _queue(rng, n=120):
     return [(i, f"m{rng.randrange(5)}", f"c{rng.randrange(6)}", rng.randrange(2), rng.choice(["china_match", "not_china", "not_china", "failed", "contaminated_template"]), rng.random() < 0.1) for i in range(n)]
 
