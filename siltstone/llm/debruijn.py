@@ -3,6 +3,8 @@
 Edges are windows of WIDTH words. Equal texts are one text of their least document. Only windows whose anchor several documents have are looked at (see repeats). Within
 one anchor's partition edges that always follow each other are compacted at once into nonbranching pieces; pieces are
 glued into longer paths by Spark joins wherever a piece and its successor have each other as their only neighbours.
+An anchor with more than CROWD segments is no one task's work: its edges are counted and its pieces are single edges, which
+the same joins glue.
 Source coordinates verify the paths: every occurrence's words are digested from its document and must agree with those
 of the path's other occurrences; otherwise hashes collided and all is done again with other ones.
 
@@ -25,6 +27,7 @@ from .common import discard, materialise
 from .repeats import Unit, _longs, by_anchor, candidates, distinct_segments, keyed, originals, segments
 
 WIDTH, GRAM = 13, 7
+CROWD, SALTS = 1_000, 8
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -56,14 +59,44 @@ def _compact(t: pa.Table):
     yield pa.RecordBatch.from_arrays([_longs(h[of[start]]), _longs(seg[of[start]]), _longs(start - first[of[start]]), _longs(length), _longs(least[name[start]]), _longs(edge[start])], ["h", "seg", "skip", "n", "owner", "edge"])
 
 
-def pieces(docs: DataFrame, firsts: DataFrame, unit: Unit) -> DataFrame:
+_LOCAL = "h long, seg long, skip long, n long, owner long, edge long"
+
+
+def _edges(batches):
+    """(h, seg, skip, edge, lo, hi) of every edge of segments."""
+    for batch in batches:
+        payload = batch.column(2)
+        at = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + len(payload) + 1].astype(np.int64)
+        sizes = np.diff(at) // 8
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        skip = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        edge = np.frombuffer(payload.buffers()[2], np.uint8)[at[0] : at[-1]].copy().view(np.uint64) if len(of) else np.zeros(0, np.uint64)
+        h, seg, lo, hi = (batch.column(c).to_numpy()[of] for c in (0, 1, 3, 4))
+        yield pa.RecordBatch.from_arrays([_longs(x) for x in (h, seg, skip, edge, lo, hi)], ["h", "seg", "skip", "edge", "lo", "hi"])
+
+
+def crowded(distinct: DataFrame) -> DataFrame:
+    """The pieces, one edge each, of distinct segments of crowded anchors: edges are counted before the shuffle, and their rows join the counts by salts."""
+    edges = materialise(distinct.select("h", "seg", "payload", "lo", "hi").mapInArrow(_edges, "h long, seg long, skip long, edge long, lo long, hi long"), "debruijn-crowd")
+    shared = edges.groupBy("h", "edge").agg(F.min("lo").alias("owner"), F.max("hi").alias("most")).where("owner < most")
+    shared = shared.select("h", "edge", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    rows = edges.withColumn("salt", F.pmod("seg", F.lit(SALTS)).cast("long")).join(shared, ["h", "edge", "salt"])
+    out = materialise(rows.select("h", "seg", "skip", F.lit(1).cast("long").alias("n"), "owner", "edge"), "debruijn-crowd-pieces")
+    discard(edges)
+    return out
+
+
+def pieces(docs: DataFrame, firsts: DataFrame, unit: Unit, crowd: int = CROWD) -> DataFrame:
     """(rk, doc, start, n, owner, edge): occurrences of nonbranching pieces that several texts have."""
     found = materialise(candidates(docs, firsts, unit), "debruijn-anchors")
     cut = materialise(segments(docs, found, unit), "debruijn-segments")
     discard(found)
-    local = materialise(by_anchor(distinct_segments(cut), _compact, "h long, seg long, skip long, n long, owner long, edge long"), "debruijn-local")
+    many = materialise(cut.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd).select("h"), "debruijn-crowded")
+    local = materialise(by_anchor(distinct_segments(cut.join(many, "h", "left_anti")), _compact, _LOCAL), "debruijn-local")
+    beside = crowded(distinct_segments(cut.join(many, "h", "left_semi")))
+    both, local = (local, beside), local.unionByName(beside)
     out = materialise(cut.select("h", "seg", "rk", "doc", "start").join(local, ["h", "seg"]).select("rk", "doc", (F.col("start") + F.col("skip")).alias("start"), "n", "owner", "edge"), "debruijn-pieces")
-    discard(cut, local)
+    discard(cut, many, *both)
     return out
 
 
@@ -145,12 +178,12 @@ def _results(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     return both.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, paths {_PATHS_SQL}{', kept_text string' * with_text}")
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, paths, kept_text): paths are the document's repeated paths with coordinates."""
     docs = keyed(df, key, text)
     firsts = materialise(originals(docs), "debruijn-firsts")
     for seed in range(4):
-        parts = pieces(docs, firsts, Unit(WIDTH, GRAM, True, seed))
+        parts = pieces(docs, firsts, Unit(WIDTH, GRAM, True, seed), crowd)
         spans = materialise(firsts.select("rk", F.lit(True).alias("first")).join(glue(parts), "rk", "left"), "debruijn-spans")
         out = materialise(_results(docs, spans, with_text), "debruijn-results")
         discard(parts, spans)

@@ -94,13 +94,16 @@ def test_substring_dedup_against_brute_force(spark, seed):
     df = docs(spark, texts, ids)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in debruijn.dedup(df).collect()}
     assert got == brute_words(texts, ids)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in debruijn.dedup(df, crowd=seed).collect()}
+    assert got == brute_words(texts, ids)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_array.dedup(df).collect()}
     assert got == brute_bytes(texts, ids)
 
 
-def test_paths_name_repeats_with_coordinates(spark):
+@pytest.mark.parametrize("crowd", [0, debruijn.CROWD])
+def test_paths_name_repeats_with_coordinates(spark, crowd):
     shared = " ".join(f"s{i}" for i in range(40))
-    out = debruijn.dedup(docs(spark, [f"a b c {shared} d e", f"x {shared} y", "q " * 30])).collect()
+    out = debruijn.dedup(docs(spark, [f"a b c {shared} d e", f"x {shared} y", "q " * 30]), crowd=crowd).collect()
     by = {r["doc_id"]: r for r in out}
     assert [(p["start"], p["n_words"], p["first_doc"]) for p in by[1]["paths"]] == [(1, 40, 0)]
     assert [(p["start"], p["n_words"]) for p in by[0]["paths"]] == [(3, 40)] and by[0]["paths"][0]["path"] == by[1]["paths"][0]["path"]
