@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..operators import archive_round, extract, staging
 from ..operators.shared import folder
@@ -259,3 +260,38 @@ def word_lines(spark, d):
     zero = F.lit(0)
     words.select(F.lit(5).alias("level"), F.col("doc_id").alias("page_num"), zero.alias("block_num"), zero.alias("par_num"), zero.alias("line_num"), F.col("i").alias("word_num"), zero.alias("left"), zero.alias("top"), zero.alias("width"), zero.alias("height"), F.lit(90).alias("conf"), F.col("word").alias("text")).write.option("sep", "\t").option("header", True).option("quote", "").csv(path)
     return readers.tsv_lines(spark, path).select(F.col("page_num").cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_sha256"), F.size(F.split("text", " ")).cast("long").alias("n_words"))
+
+
+@query("s08_raw_objects", "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
+def raw_objects(spark, d):
+    """Compressed files of a line a document, read as objects and opened again."""
+    path = folder(spark, "objects")
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.sha2(F.coalesce("text", F.lit("")), 256))
+    table(spark, d, "documents").select(line.alias("value")).write.option("compression", "gzip").text(path)
+    lines = readers.raw_objects(spark, path, "*.gz").where("error IS NULL").select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("v")).where("v <> ''")
+    return lines.select(F.split_part("v", F.lit(" "), F.lit(1)).cast("long").alias("doc_id"), F.split_part("v", F.lit(" "), F.lit(2)).alias("text_sha256"))
+
+
+@F.pandas_udf(BinaryType())
+def _gzipped(x):
+    import gzip
+
+    return x.map(gzip.compress)
+
+
+@query("s09_archive_members", "SELECT page_id, CASE WHEN page_id % 4 < 2 AND html <> '' THEN sha256(html) END AS entity_sha256, CASE page_id % 4 WHEN 2 THEN 'range is no complete gzip' WHEN 3 THEN 'neither WARC nor ARC' END AS error FROM pages")
+def archive_members(spark, d):
+    """WARC and ARC members of whole pages, members cut short, and what is neither."""
+    i = F.col("page_id")
+    head = F.when(i % 4 == 0, "WARC/1.0\r\nWARC-Type: response\r\n\r\n").when(i % 4 == 3, "FTP/1.0\n").otherwise("http://a.example/ 1.2.3.4 20210101000000 text/html 9\n")
+    member = _gzipped(F.encode(F.concat(head, F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), "html"), "UTF-8"))
+    cut = F.when(i % 4 == 2, F.substring(member, F.lit(1), F.octet_length(member) - 6)).otherwise(member)
+    rows = table(spark, d, "pages").select("page_id", members.extract_entity(cut).alias("r"))
+    return rows.select("page_id", F.sha2("r.content", 256).alias("entity_sha256"), "r.error")
+
+
+@query("f32_entity_page", "SELECT doc_id, 'ກ' || chr(CAST(97 + doc_id % 26 AS INT)) || '&<' || lang AS plain FROM documents")
+def entity_page(spark, d):
+    """Pages of numeric and named entities."""
+    coded = F.concat(F.lit("&#3713;&#"), (F.col("doc_id") % 26 + 97).cast("string"), F.lit(";&amp;&lt;"), F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", members.entity_html(F.encode(coded, "UTF-8")).alias("plain"))
