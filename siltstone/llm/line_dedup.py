@@ -7,8 +7,7 @@ long enough to tell lines apart stays whole. Blocks are therefore words: of each
 all texts), and lines that keep two of them share a block of two. Alike lines keep two of three of them on average at the least similarity; the tests
 measure what share of all alike pairs that finds. A block of common words alone takes three.
 
-Each node is first paired with the least and the greatest node of its blocks alone, which joins crowds of near lines by
-few checks; then nodes of one block and different groups. Lengths and parities of words bound the distance of a pair before
+Each node is first paired with one node of each of its blocks alone, which joins crowds of near lines by few checks; then nodes of one block and different groups. Lengths and parities of words bound the distance of a pair before
 texts are fetched, then word edit similarity (1 - insertions and deletions over both lengths) of SIMILARITY or more
 decides. Groups are connected components. Of each group the occurrence of the smallest document and line stays; the
 other lines go, and what is left is joined by line feeds as before.
@@ -41,7 +40,9 @@ RARE = 6
 BUCKETS, SLICE = 1 << 20, 1 << 12
 #: A word is common if it is one of so many words, and occurs so often at least.
 COMMON_SHARE, COMMON_LEAST, FREQUENT = 1 << 14, 64, 128
-NONE = np.uint64((1 << 64) - 1)
+#: Nodes whose blocks are made and compared at once, and about how many blocks meet in one bucket.
+BLOCK_ROWS, BUCKET_BLOCKS = 1 << 16, 100_000
+NONE, _NO_WORD = np.uint64((1 << 64) - 1), -1
 
 #: What a byte becomes: ASCII letters lower-case, digits 0, other ASCII a space; bytes of other characters stay.
 _PLAIN = np.array([c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 48 if chr(c).isdigit() else 32 for c in range(256)], np.uint8)
@@ -136,21 +137,111 @@ def marked_lines(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     return docs.select("rk", "doc", "text").mapInArrow(run, ", ".join(f"{c} long" for c in _COLUMNS + _RARE_COLUMNS))
 
 
-def blocks(nodes: DataFrame) -> DataFrame:
-    """(k, node): the blocks of each node, two of its rarest words each; three where all of them are common words.
+def _keys(node: np.ndarray, w: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(k, node): the blocks of nodes, two of their rarest words w each; three where all of them are common words.
 
     Lines of few different words also have their single words and pairs as blocks.
     """
-    w = [F.col(c) for c in _RARE_COLUMNS]
-    made = lambda rows, keys: rows.select("node", F.explode(F.array(*keys)).alias("k")).where("k is not null")
-    places = range(RARE)
-    pairs = [F.when(w[i] >= 0, F.xxhash64(w[i], w[j])) for i, j in combinations(places, 2)]  # the rarer of two comes first
-    most = made(nodes, [F.when(w[j].isNotNull(), p) for (_, j), p in zip(combinations(places, 2), pairs, strict=True)])
-    few = w[3].isNull()
-    rest = [F.when(w[k].isNotNull() & (w[i] < 0), F.xxhash64(w[i], w[j], w[k])) for i, j, k in combinations(places, 3)]
-    rest += [F.when(few & w[i].isNotNull(), F.xxhash64(w[i])) for i in range(3)]
-    rest += [F.when(few & w[j].isNotNull() & (w[i] < 0), F.xxhash64(w[i], w[j])) for i, j in combinations(range(3), 2)]
-    return most.unionByName(made(nodes.where((w[RARE - 3] < 0) | w[RARE - 1].isNull()), rest))
+    ks, of = [], []
+
+    def put(rows, i, *others):
+        k = w[i][rows].view(np.uint64)
+        for j in others:
+            k = mix(k ^ mix(w[j][rows].view(np.uint64) + np.uint64(len(others))))
+        ks.append(k if others else mix(k))
+        of.append(node[rows])
+
+    for i, j in combinations(range(RARE), 2):  # the rarer of two comes first
+        put(np.flatnonzero((w[i] >= 0) & (w[j] != _NO_WORD)), i, j)
+    common = [(x < 0) & (x != _NO_WORD) for x in w]
+    for i, j, k in combinations(range(RARE), 3):
+        put(np.flatnonzero(common[i] & (w[k] != _NO_WORD)), i, j, k)
+    few = w[3] == _NO_WORD
+    for i in range(3):
+        put(np.flatnonzero(few & (w[i] != _NO_WORD)), i)
+    for i, j in combinations(range(3), 2):
+        put(np.flatnonzero(few & common[i] & (w[j] != _NO_WORD)), i, j)
+    return np.concatenate(ks), np.concatenate(of)
+
+
+def _cells(batches, buckets: int):
+    """(bucket, open, settled): blocks of BLOCK_ROWS nodes at once by bucket, as packed (k, node) and (k, node, lo).
+
+    A block that several of these nodes have is settled: lo is one of them, and it alone is open, twice, which says that the block is shared.
+    """
+
+    def pack(parts):
+        node, *w = (np.concatenate(x) for x in zip(*parts, strict=True))
+        k, node = _keys(node, w)
+        if not len(k):
+            return
+        order = np.argsort(k)
+        k, node = k[order], node[order]
+        head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        size = np.diff(np.r_[head, len(k)])
+        lo, first = np.repeat(node[head], size), np.zeros(len(k), bool)
+        first[head] = True
+        done, twice = np.flatnonzero(~first), head[size > 1]
+        sent = np.r_[head, twice]
+        columns = []
+        # Settled blocks may lie anywhere: by node, so that none is crowded.
+        for key, cols in ((k[sent], (k[sent], node[sent].view(np.uint64))), (mix(node[done].view(np.uint64)), tuple(x.view(np.uint64) for x in (k[done], node[done], lo[done])))):
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            packed = np.stack([x[order] for x in cols], axis=1)
+            ends = np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))] * 8 * len(cols)
+            columns.append(pa.Array.from_buffers(pa.large_binary(), buckets, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(packed.tobytes())]).cast(pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets), pa.int64()), *columns], ["bucket", "open", "settled"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append([batch.column(0).to_numpy(), *(c.fill_null(_NO_WORD).to_numpy() for c in batch.columns[1:])])
+        n += batch.num_rows
+        if n >= BLOCK_ROWS:
+            yield from pack(held)
+            held, n = [], 0
+    if held:
+        yield from pack(held)
+
+
+def _settle(batches):
+    """(k, node, lo) of the blocks of several nodes; rows come by bucket."""
+
+    def flush(cells):
+        settled = np.frombuffer(b"".join(c[1] for c in cells), np.int64).reshape(-1, 3)
+        k, node = np.frombuffer(b"".join(c[0] for c in cells), np.int64).reshape(-1, 2).T
+        order = np.argsort(k)
+        same = k[order][1:] == k[order][:-1]
+        some = order[np.r_[same, False] | np.r_[False, same]] if len(k) else order
+        k, node = k[some], node[some]
+        order = np.lexsort((node, k))
+        k, node = k[order], node[order]
+        new = np.r_[True, k[1:] != k[:-1]][: len(k)]
+        lo = np.repeat(node[new], np.diff(np.r_[np.flatnonzero(new), len(k)]))
+        once = new | np.r_[True, node[1:] != node[:-1]][: len(k)]
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[x[once], settled[:, i]]) for i, x in enumerate((k, node, lo))], ["k", "node", "lo"])
+
+    now, held = None, []
+    for batch in batches:
+        for bucket, *cell in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != now and held:
+                yield flush(held)
+                held = []
+            now = bucket
+            held.append(cell)
+    if held:
+        yield flush(held)
+
+
+def blocks(nodes: DataFrame) -> DataFrame:
+    """(k, node, lo): the blocks that several nodes have, each node with a node lo of the same block.
+
+    Blocks meet by buckets, whose number grows with that of nodes. A block that several nodes of one batch have is settled
+    there, so a crowded one sends one row a batch to its bucket.
+    """
+    buckets = 1 + nodes.count() * len(list(combinations(range(RARE), 2))) // BUCKET_BLOCKS
+    rows = nodes.select("node", *_RARE_COLUMNS).mapInArrow(lambda batches: _cells(batches, buckets), "bucket long, open binary, settled binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle, "k long, node long, lo long")
 
 
 def _may_be_alike():
@@ -165,16 +256,16 @@ def _sketch(nodes: DataFrame, side: str) -> DataFrame:
 
 
 def star_pairs(met: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b): each node with the least and the greatest node of its blocks, if they may be alike."""
-    ends = met.select(F.col("lo").alias("a"), F.col("node").alias("b")).union(met.select("node", "hi")).where("a <> b").distinct()
+    """(a, b): each node with one node of each of its blocks, if they may be alike."""
+    ends = met.where("lo <> node").select(F.least("lo", "node").alias("a"), F.greatest("lo", "node").alias("b")).distinct()
     return ends.join(_sketch(sketches, "a"), "a").join(_sketch(sketches, "b"), "b").where(_may_be_alike()).select("a", "b")
 
 
 def cross_pairs(met: DataFrame, sketches: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b): nodes of one block and different groups that may be alike; groups: (id, root) of what stars have joined."""
-    rows = met.select("k", "node").join(groups.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = met.select("k", "node").join(groups.select(F.col("id").alias("node"), "root").hint("shuffle_hash"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
-    rows = materialise(rows.join(mixed, "k").join(sketches.select("node", "words", "p0", "p1"), "node"), "line-mixed")
+    rows = materialise(rows.join(mixed.hint("shuffle_hash"), "k").join(sketches.select("node", "words", "p0", "p1").hint("shuffle_hash"), "node"), "line-mixed")
     side = lambda s: rows.select("k", F.col("node").alias(s), F.col("root").alias(f"g{s}"), F.col("words").alias(f"n{s}"), F.col("p0").alias(f"{s}0"), F.col("p1").alias(f"{s}1"))
     found = side("a").join(side("b"), "k").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _may_be_alike()).select("a", "b").distinct()
     found = materialise(found, "line-cross")
@@ -247,32 +338,45 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (id, root) after further links (a, b): only roots are linked anew."""
+    known = groups.select("id", "root").hint("shuffle_hash")
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(known.select(F.col("id").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+    above = components(ends.select("a", "b"), "line-root-groups")
+    to = above.select(F.col("id").alias("root"), F.col("root").alias("top"))
+    out = materialise(groups.join(to, "root", "left").select("id", F.coalesce("top", "root").alias("root")).unionByName(above.select("id", "root")), "line-groups")
+    discard(above)
+    return out
+
+
 def lines_to_drop(docs: DataFrame) -> DataFrame:
     """(rk, drop): the numbers of the lines that each row loses; docs: rk, doc, text."""
     lines = materialise(marked_lines(docs, word_classes(docs)), "lines")
-    same = [F.first(c).alias(c) for c in _RARE_COLUMNS]
-    nodes = materialise(lines.groupBy("node").agg(F.min(F.struct("doc", "rk", "line")).alias("first"), F.count(F.lit(1)).alias("n"), *same), "line-nodes")
-    dealt = blocks(nodes)
-    shared = materialise(dealt.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"), "line-shared", {"spark.sql.codegen.aggregate.map.twolevel.enabled": "false"})
-    met = materialise(dealt.join(shared.hint("shuffle_hash"), "k"), "line-blocks")
-    discard(shared)
-    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi")
-    texts = materialise(_texts_of(docs, wanted.select("node", "first.rk", "first.line")), "line-texts")
-    # A crowd of near lines is joined through two of its lines, by two checks a line; other pairs are made only between groups.
+    same = [F.first(c).alias(c) for c in ("rk", "line", *_RARE_COLUMNS)]  # any occurrence will do
+    nodes = materialise(lines.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *same), "line-nodes")
+    met = materialise(blocks(nodes), "line-blocks")
+    wanted = nodes.join(met.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")
+    texts = materialise(_texts_of(docs, wanted.select("node", "rk", "line")), "line-texts")
+    # A crowd of near lines is joined through one of its lines, by a check a line; other pairs are made only between groups.
     stars = materialise(_verified(star_pairs(met, texts), texts), "line-stars")
     groups = components(stars, "line-stars-groups")
     cross = cross_pairs(met, texts, groups)
-    links = stars
+    discard(met, stars)
     if not cross.isEmpty():
-        discard(groups)
-        links = stars.unionByName(_verified(cross, texts))
-        groups = components(links, "line-groups")
-    known = nodes.select("node", "first", "n").join(groups, nodes["node"] == groups["id"], "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n")
-    kept = known.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total"))
-    targets = known.join(kept.where("total > 1"), "root").select("node", "keep")
-    gone = lines.select("rk", "line", "node").join(targets, "node").where(~((F.col("rk") == F.col("keep.rk")) & (F.col("line") == F.col("keep.line"))))
-    out = materialise(gone.groupBy("rk").agg(F.array_sort(F.collect_set("line")).alias("drop")), "line-drops")
-    discard(lines, nodes, met, texts, stars, cross, groups)
+        links = materialise(_verified(cross, texts), "line-links")
+        before, groups = groups, _joined_groups(groups, links)
+        discard(before, links)
+    # Nodes of a group, and those of several lines; a root is the least of its group.
+    some = groups.select(F.col("id").alias("node"), "root").unionByName(groups.select(F.col("root").alias("node"), "root")).unionByName(nodes.where("n > 1").select("node", F.col("node").alias("root")))
+    targets = some.groupBy("node").agg(F.min("root").alias("root"))
+    marked = materialise(lines.select("rk", "doc", "line", "node").join(targets.hint("shuffle_hash"), "node").select("rk", "doc", "line", "root"), "line-marked")
+    kept = marked.groupBy("root").agg(F.min(F.struct("doc", "rk", "line")).alias("keep")).select("keep.rk", "keep.line", F.lit(True).alias("stays"))
+    both = marked.select("rk", "line", F.lit(False).alias("stays")).unionByName(kept)
+    listed = both.groupBy("rk").agg(F.collect_set("line").alias("all"), F.collect_set(F.when(F.col("stays"), F.col("line"))).alias("keep"))
+    out = materialise(listed.select("rk", F.array_sort(F.array_except("all", "keep")).alias("drop")).where("size(drop) > 0"), "line-drops")
+    discard(lines, nodes, texts, cross, groups, marked)
     return out
 
 

@@ -7,11 +7,12 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 llm = pytest.importorskip("siltstone.llm.queries")
-from siltstone.llm import chat_format, debruijn, decontam, graph, licenses, line_dedup, media_gif, packing, simhash, suffix_array, toxicity  # noqa: E402
+from siltstone.llm import chat_format, debruijn, decontam, graph, licenses, line_dedup, media_gif, packing, simhash, suffix_array, textkernel, toxicity  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -293,6 +294,47 @@ def test_lines_of_common_words_meet_in_threes(spark):
     assert len(should) > 50 and gone <= should and len(gone) >= 0.95 * len(should)
 
 
+@pytest.mark.parametrize("rows, blocks", [(1 << 16, 100_000), (40, 300)])
+def test_line_blocks_are_all_that_two_lines_have(spark, monkeypatch, rows, blocks):
+    """A crowded block of many batches, ones of two lines and lines of few or common words; no block goes, none is said twice."""
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(line_dedup, "BUCKET_BLOCKS", blocks)
+    rng = random.Random(5)
+    nodes = []
+    for i in range(400):
+        w = sorted({1, 2, *(rng.randrange(3, 400) for _ in range(rng.randrange(0, 5)))} if i % 2 else {rng.randrange(3, 400) for _ in range(rng.randrange(0, 7))})
+        w = w[:6] if i % 7 else [-(1 << 60) - x for x in w[:6]]  # common words have the sign
+        nodes.append((i * 977 - 50_000, *w, *[None] * (6 - len(w))))
+    k, node = line_dedup._keys(np.array([n[0] for n in nodes]), [np.array([-1 if n[i] is None else n[i] for n in nodes]) for i in range(1, 7)])
+    want = {}
+    for x, n in zip(k.view(np.int64).tolist(), node.tolist(), strict=True):
+        want.setdefault(x, set()).add(n)
+    want = {x: ns for x, ns in want.items() if len(ns) > 1}
+    df = spark.createDataFrame(nodes, "node long, " + ", ".join(f"w{i} long" for i in range(6))).repartition(5)
+    got = line_dedup.blocks(df).collect()
+    assert max(map(len, want.values())) > 150 and len(got) == sum(map(len, want.values()))
+    assert {(r["k"], r["node"]) for r in got} == {(x, n) for x, ns in want.items() for n in ns}
+    assert all(r["lo"] in want[r["k"]] for r in got)
+    # Along lo all of a block hang together, and only few speak for others.
+    for x, ns in want.items():
+        order = sorted(ns)
+        links = [(order.index(r["node"]), order.index(r["lo"])) for r in got if r["k"] == x]
+        assert set(grouped(len(order), links)) == {0}
+
+
+def test_word_hashes_tell_words_apart_of_every_length():
+    rng = random.Random(6)
+    words = [bytes(rng.choice(b"ab") for _ in range(n)) for n in range(1, 150) for _ in range(20)] + [b"a", b"a\0", b"a\0\0", b"", b"\0"]
+    words = [w for w in words if w]
+    hashes = {}
+    for shift in range(3):
+        data = np.frombuffer(b" " * shift + b" ".join(words), np.uint8)
+        ends = shift + np.cumsum([len(w) + 1 for w in words]) - 1
+        for w, h in zip(words, textkernel.word_hashes(data, ends - [len(w) for w in words], ends).tolist(), strict=True):
+            hashes.setdefault(w, set()).add(h)
+    assert all(len(h) == 1 for h in hashes.values()) and len({next(iter(h)) for h in hashes.values()}) == len(hashes)
+
+
 def test_edit_similarity_is_exact():
     rng = random.Random(2)
 
