@@ -3,7 +3,7 @@
 Edges are windows of WIDTH words. Equal texts are one text of their least document. Only windows whose anchor several documents have are looked at (see repeats). Within
 one anchor's partition edges that always follow each other are compacted at once into nonbranching pieces; pieces are
 glued into longer paths by Spark joins wherever a piece and its successor have each other as their only neighbours.
-An anchor with more than CROWD segments is no one task's work: its edges are counted and its pieces are single edges, which
+An anchor with more than CROWD different segments is no one task's work: its edges are counted and its pieces are single edges, which
 the same joins glue.
 Source coordinates verify the paths: every occurrence's words are digested from its document and must agree with those
 of the path's other occurrences; otherwise hashes collided and all is done again with other ones.
@@ -91,9 +91,11 @@ def pieces(docs: DataFrame, firsts: DataFrame, unit: Unit, crowd: int = CROWD) -
     found = materialise(candidates(docs, firsts, unit), "debruijn-anchors")
     cut = materialise(segments(docs, found, unit), "debruijn-segments")
     discard(found)
-    many = materialise(cut.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd).select("h"), "debruijn-crowded")
-    local = materialise(by_anchor(distinct_segments(cut.join(many, "h", "left_anti")), _compact, _LOCAL), "debruijn-local")
-    beside = crowded(distinct_segments(cut.join(many, "h", "left_semi")))
+    distinct = materialise(distinct_segments(cut), "debruijn-distinct")
+    many = materialise(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd).select("h"), "debruijn-crowded")
+    local = materialise(by_anchor(distinct.join(many, "h", "left_anti"), _compact, _LOCAL), "debruijn-local")
+    beside = crowded(distinct.join(many, "h", "left_semi"))
+    discard(distinct)
     both, local = (local, beside), local.unionByName(beside)
     out = materialise(cut.select("h", "seg", "rk", "doc", "start").join(local, ["h", "seg"]).select("rk", "doc", (F.col("start") + F.col("skip")).alias("start"), "n", "owner", "edge"), "debruijn-pieces")
     discard(cut, many, *both)

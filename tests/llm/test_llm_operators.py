@@ -111,6 +111,21 @@ def test_paths_name_repeats_with_coordinates(spark, crowd):
     assert by[1]["kept_text"] == "x y"
 
 
+def test_crowded_anchors_are_those_of_many_different_segments(spark, monkeypatch):
+    """Copies of one segment are one before anchors are told apart, so a common passage alone crowds none but those at its ends."""
+    seen = []
+    crowded = debruijn.crowded
+    monkeypatch.setattr(debruijn, "crowded", lambda df: seen.extend((r["h"], r["seg"]) for r in df.select("h", "seg").collect()) or crowded(df))
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{' '.join(f'a{d}x{i}' for i in range(15))} {passage} {' '.join(f'b{d}x{i}' for i in range(15))}" for d in range(30)]
+    rows = debruijn.dedup(docs(spark, texts), crowd=5).collect()
+    sizes = {}
+    for h, _ in seen:
+        sizes[h] = sizes.get(h, 0) + 1
+    assert len(set(seen)) == len(seen) and sizes and min(sizes.values()) > 5
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == {d: 60 * (d > 0) for d in range(30)}
+
+
 def test_intervals_are_maximal_repeats():
     import numpy as np
 
